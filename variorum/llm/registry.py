@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import exact_dedup, simhash
+from variorum.llm import bpe, exact_dedup, simhash, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_bpe": bpe.op5_bpe,
+        "op6_token_file": token_file.op6_token_file,
         "op9_simhash": simhash.op9_simhash,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
