@@ -10,10 +10,10 @@ exactly: by numpy over whole batches, and with a heap where a word is very long.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
-import os
 import re
 import tempfile
 from collections import Counter
@@ -22,19 +22,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from variorum.llm._shared import documents, slices, texts
+from variorum.llm._shared import documents, materialize, slices, texts
 
 #: Entries of the lexicon, bytes of its longest entry, pieces that a worker remembers, words that one partial count holds.
-LEXICON, LONGEST, MEMO, PARTIAL = 1 << 16, 40, 400_000, 300_000
+LEXICON, LONGEST, MEMO, PARTIAL = 1 << 17, 40, 600_000, 500_000
 #: Fixed value: the word pattern of byte-level BPE.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The first character after the Latin blocks, whose categories no longer change.
 FURTHER = "\u0250"
+#: Signs that never join the letters before them in one word (an apostrophe may).
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _NONE = np.int64(1 << 40)
 _BLANK_BEFORE_BLANK = re.compile(r"\s ")
 
@@ -63,7 +66,6 @@ class Merges:
         letters = byte_letters()
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.special_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
         for token, i in vocab.items():
@@ -173,13 +175,15 @@ class Merges:
     def words_of(self, piece: str) -> list[bytes]:
         """Beyond Latin letters the library's own splitter decides, whose Unicode tables may be older or newer than regex's."""
         if piece.isascii() or max(piece) < FURTHER:
+            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                return [piece.encode()]
             return [w.encode() for w in self.words.findall(piece)]
         return [piece[i:j].encode("utf-8", "surrogatepass") for _, (i, j) in self.splitter.pre_tokenize_str(piece)]
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         split = {p: self.words_of(p) for p in pieces}
         ids = self.merge(w for words in split.values() for w in words)
-        return {p: b"".join(map(ids.__getitem__, words)) for p, words in split.items()}
+        return {p: ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words)) for p, words in split.items()}
 
 
 def pieces(text: str) -> list[str]:
@@ -220,6 +224,7 @@ class Lexicon:
         self.keys, self.target, self.number, self.final = take("<u4", arcs), take("<u4", arcs), take("<u4", arcs), take("u1", states)
         self.start = take("<u4", entries + 1)
         self.ids = take("<u4", int(self.start[-1]) if entries else 0)
+        self._ends = [4 * x for x in self.start.tolist()]
 
     @staticmethod
     def build(entries: dict[bytes, bytes]) -> bytes:
@@ -279,14 +284,11 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, content: bytes) -> Lexicon:
-        """Write content once for each machine's temporary folder, and map that file."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}.bin")
-        if not os.path.exists(path):
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(own := f"{path}.{os.getpid()}", "wb") as f:
-                f.write(content)
-            os.replace(own, path)
-        return cls(np.memmap(path, np.uint8, mode="r"))
+        """Map content from a file in the machine's temporary folder, which has no name there and goes with the worker."""
+        with tempfile.TemporaryFile() as f:
+            f.write(content)
+            f.flush()
+            return cls(np.memmap(f, np.uint8, mode="r"))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Ordinal of each word, -1 where it is none."""
@@ -314,47 +316,156 @@ class Lexicon:
             step += 1
         return out
 
-    def entry(self, ordinal: int) -> bytes:
-        return self.ids[self.start[ordinal] : self.start[ordinal + 1]].tobytes()
-
-
-class Encoder:
-    """Encodes texts piece by piece: remembered, else in the lexicon, else merged."""
-
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, memo: int = MEMO) -> None:
-        self.merges, self.lexicon, self.limit = merges, lexicon, memo
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, wanted: set[str]) -> None:
-        new = wanted - self.memo.keys()
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = wanted
-        todo = list(new)
-        if self.lexicon is not None:
-            found = self.lexicon.find([(" " + p).encode("utf-8", "surrogatepass") for p in todo])
-            self.memo.update((todo[k], self.lexicon.entry(found[k])) for k in np.flatnonzero(found >= 0).tolist())
-            todo = [todo[k] for k in np.flatnonzero(found < 0).tolist()]
-        for k in range(0, len(todo), 1 << 15):
-            part = todo[k : k + (1 << 15)]
-            ids = self.merges.encode_pieces([" " + p for p in part])
-            self.memo.update((p, ids[" " + p]) for p in part)
+    def entries(self, ordinals: np.ndarray) -> list[bytes]:
+        """The ids of each ordinal, little-endian."""
+        view, ends = memoryview(self.ids).cast("B"), self._ends
+        return [bytes(view[ends[k] : ends[k + 1]]) for k in ordinals.tolist()]
+
+
+class Memo:
+    """Pieces and their ids: at least the last ``limit`` / 2 that were asked for, at most ``limit`` besides those of one batch."""
+
+    def __init__(self, limit: int) -> None:
+        self.half, self.now, self.older = limit // 2, {}, {}
+
+    def get(self, wanted: list[str]) -> list[bytes | None]:
+        if len(self.now) > self.half:
+            self.now, self.older = {}, self.now
+        found = list(map(self.now.get, wanted))
+        now, older = self.now, self.older
+        for k, ids in enumerate(found):
+            if ids is None and (ids := older.get(wanted[k])) is not None:
+                found[k] = now[wanted[k]] = ids
+        return found
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece; ``new`` gives the ids of pieces that aren't remembered."""
+
+    def __init__(self, memo: int, special: Iterable[str]) -> None:
+        self.memo = Memo(memo)
+        self.tails: dict[str, bytes] = {}
+        found = sorted(special, key=len, reverse=True)
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
+
+    def new(self, parts: list[str]) -> Iterable[bytes]:
+        """Ids of strings that begin where a word begins."""
+        raise NotImplementedError
+
+    def special_id(self, token: str) -> int:
+        raise NotImplementedError
+
+    def _remember(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), 1 << 15):
+            some = parts[k : k + (1 << 15)]
+            self.memo.now.update(zip(some, self.new([" " + p for p in some])))
+
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, each after a blank. Letters and a tail of signs are two words, so their ids are joined."""
+        found = self.memo.get(parts)
+        joined, rest = [], []
+        for k, ids in enumerate(found):
+            if ids is None:
+                piece = parts[k]
+                core = piece if piece.isalpha() else piece.rstrip(SIGNS)
+                if core is not piece and core.isalpha() and (core.isascii() or max(core) < FURTHER):
+                    joined.append((k, core, piece[len(core) :]))
+                else:
+                    rest.append(k)
+        self._remember([parts[k] for k in rest])
+        now = self.memo.now
+        for k in rest:
+            found[k] = now[parts[k]]
+        if joined:
+            cores = list({core for _, core, _ in joined})
+            self._remember([p for p, ids in zip(cores, self.memo.get(cores)) if ids is None])
+            now = self.memo.now
+            tails = list({tail for _, _, tail in joined} - self.tails.keys())
+            if len(self.tails) + len(tails) > 10_000:
+                self.tails.clear()
+                tails = list({tail for _, _, tail in joined})
+            self.tails.update(zip(tails, self.new(tails)))
+            ends = self.tails
+            for k, core, tail in joined:
+                found[k] = now[parts[k]] = now[core] + ends[tail]
+        return found
+
+    def _odd(self, text: str) -> bytes:
+        """A text with special tokens, or with blanks after other blank characters."""
+        out = []
+        for k, part in enumerate(self.special_pattern.split(text) if self.special_pattern else [text]):
+            if k % 2:
+                out.append(self.special_id(part).to_bytes(4, "little"))
+            else:
+                first, *others = pieces(part)
+                place = {p: i for i, p in enumerate(dict.fromkeys(others))}
+                ids = self.ids_of(list(place))
+                out += [*self.new([first]), *(ids[place[p]] for p in others)]
+        return b"".join(out)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        special = self.merges.special_pattern
-        parts = [special.split(t) if special and special.search(t) else [t] for t in batch]  # odd places: special tokens
-        cut = [[pieces(x) if k % 2 == 0 else x for k, x in enumerate(xs)] for xs in parts]
-        firsts = {p[0] for xs in cut for p in xs[::2]}
-        self._learn({w for xs in cut for p in xs[::2] for w in p[1:]})
-        first = self.merges.encode_pieces(firsts)
-        memo, ids = self.memo.__getitem__, self.merges.special
-        return [b"".join([ids[p].to_bytes(4, "little") if k % 2 else first[p[0]] + b"".join(map(memo, p[1:])) for k, p in enumerate(xs)]) for xs in cut]
-
-    def decode(self, ids: bytes) -> str:
+        special, odd = self.special_pattern, {}
+        for k, text in enumerate(batch):
+            if _BLANK_BEFORE_BLANK.search(text) or special and special.search(text):
+                odd[k] = text
+        plain = pa.array(["" if k in odd else t for k, t in enumerate(batch)] if odd else batch, pa.string())
+        cut = pc.split_pattern(plain, " ")
+        coded = cut.values.dictionary_encode()
+        offsets = cut.offsets.to_numpy()
+        index = coded.indices.to_numpy().astype(np.int64)
+        parts = coded.dictionary.to_pylist()
+        # the first piece of each text has no blank before it
+        firsts: dict[int, int] = {}
+        for k in index[offsets[:-1]].tolist():
+            firsts.setdefault(k, len(parts) + len(firsts))
+        index[offsets[:-1]] = [firsts[k] for k in index[offsets[:-1]].tolist()]
+        ids = self.ids_of(parts) + list(self.new([parts[k] for k in firsts]))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n = size[index]
+        ends = np.cumsum(n)
+        raw = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[index] - (ends - n), n)].tobytes()
+        stops = (4 * np.concatenate(([0], ends))[offsets]).tolist()
+        return [self._odd(odd[k]) if k in odd else raw[i:j] for k, (i, j) in enumerate(zip(stops, stops[1:]))]
+
+
+class Encoder(PieceEncoder):
+    """Looks pieces up in the lexicon, and merges those that it lacks."""
+
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, memo: int = MEMO) -> None:
+        super().__init__(memo, merges.special)
+        self.merges, self.lexicon = merges, lexicon
+        self._spans = np.cumsum([0, *map(len, merges.bytes_of)])
+        self._flat = np.frombuffer(b"".join(merges.bytes_of), np.uint8)
+
+    def special_id(self, token: str) -> int:
+        return self.merges.special[token]
+
+    def new(self, parts: list[str]) -> list[bytes]:
+        if self.lexicon is None:
+            ids = self.merges.encode_pieces(parts)
+            return [ids[p] for p in parts]
+        found = self.lexicon.find([p.encode("utf-8", "surrogatepass") for p in parts])
+        ids = dict(zip((parts[k] for k in np.flatnonzero(found >= 0).tolist()), self.lexicon.entries(found[found >= 0])))
+        ids |= self.merges.encode_pieces([parts[k] for k in np.flatnonzero(found < 0).tolist()])
+        return [ids[p] for p in parts]
+
+    def decode_bytes(self, batch: list[bytes]) -> list[bytes]:
+        """The bytes that the ids of each text stand for."""
+        ids = np.frombuffer(b"".join(batch), "<u4")
+        first = self._spans[ids]
+        ends = np.cumsum(self._spans[ids + 1] - first)
+        total = int(ends[-1]) if len(ids) else 0
+        raw = self._flat[np.arange(total) + np.repeat(first - np.concatenate(([0], ends[:-1])), np.diff(ends, prepend=0))] if total else self._flat[:0]
+        raw = raw.tobytes()
+        stops = np.concatenate(([0], ends))[np.cumsum([0, *(len(x) // 4 for x in batch)])].tolist()
+        return [raw[i:j] for i, j in zip(stops, stops[1:])]
+
+    def decode(self, batch: list[bytes]) -> list[str]:
         """Special tokens too; bytes that aren't UTF-8 become U+FFFD."""
-        table = self.merges.bytes_of
-        return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return [x.decode("utf-8", "replace") for x in self.decode_bytes(batch)]
 
 
 @lru_cache(maxsize=2)
@@ -379,6 +490,7 @@ def piece_counts(docs: DataFrame, partial: int = PARTIAL) -> DataFrame:
     schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
         counts: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -397,9 +509,21 @@ def piece_counts(docs: DataFrame, partial: int = PARTIAL) -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, merges: Merges, entries: int = LEXICON) -> bytes:
-    """The ``entries`` most frequent pieces of at most LONGEST bytes that come twice or more, ties in text order."""
+    """The most frequent pieces of at most LONGEST bytes that come twice or more: as many counts as ``entries`` has room for.
+
+    Pieces of one count (from 1024 on: of one 64th of a power of two) are taken together or not at all, so a histogram
+    of bounded size says where to stop, and only what is taken comes to the driver.
+    """
     counts = piece_counts(docs).filter((F.col("n") > 1) & (F.octet_length("piece") < LONGEST))
-    rows = counts.orderBy(F.desc("n"), "piece").limit(entries).collect()  # bounded by entries
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2(F.col("n")) * 64) + 384)
+    counts = materialize(counts.select("piece", level.cast("int").alias("level")), "pieces")
+    least, room = 1 << 30, entries
+    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["level"]
+    rows = counts.filter(F.col("level") >= least).select("piece").collect()  # bounded by entries
     ids = merges.encode_pieces([" " + r.piece for r in rows])
     return Lexicon.build({p.encode(): x for p, x in ids.items()})
 
@@ -421,10 +545,11 @@ def encode_documents(docs: DataFrame, *, tokenizer: str | None = None, lexicon:
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of small objects, none in a cycle
         encoder = _encoder(*shared.value)
         for batch in slices(batches, "text"):
             ids = encoder.encode(texts(batch))
-            decoded = [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids]
+            decoded = [hashlib.sha256(x.encode()).hexdigest() for x in encoder.decode(ids)]
             columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, schema=schema)
 
