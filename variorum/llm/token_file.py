@@ -10,6 +10,7 @@ Files are written through pyarrow's file systems into the folder that all execut
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -23,12 +24,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from variorum.llm._shared import documents, materialize, scratch, slices, text_bytes, texts
-from variorum.llm.bpe import pieces, tokenizer_path
+from variorum.llm.bpe import FURTHER, PieceEncoder, byte_letters, tokenizer_path
 
 #: Bytes of ids in a frame, bytes of text for a file, id of the end token, pieces that a worker remembers.
-FRAME, FILE, END, MEMO = 1 << 18, 32 << 20, 2, 300_000
+FRAME, FILE, END, MEMO = 1 << 18, 32 << 20, 2, 600_000
 #: Fixed values of the public format.
 SEEK_FRAME, INDEX_FRAME, SEEK_END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _TABLE = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
@@ -113,39 +115,39 @@ class Reader:
             yield doc_id if known else None, raw[4 * first : 4 * (first + n)]
 
 
-class LibraryEncoder:
-    """The tokenizers library's ids. Text is handed to it in pieces that begin where words begin, and each distinct piece once
-    while it is remembered; a text with a special token in it is handed over whole."""
+class LibraryEncoder(PieceEncoder):
+    """The tokenizers library's ids. Text is handed to the library's own splitter and model in pieces that begin where words
+    begin, each distinct piece once while it is remembered, since most of a corpus is repeated words."""
 
     def __init__(self, source: bytes, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(source.decode())
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
-
-    def _encode(self, batch: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(batch), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(batch[k : k + 4096], add_special_tokens=False)]
-        return out
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        cut = [None if any(t in x for t in self.special) else pieces(x) for x in batch]
-        wanted = {w for p in cut if p for w in p[1:]}
-        new = wanted - self.memo.keys()
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = wanted
-        todo = list(new)
-        self.memo.update(zip(todo, self._encode([" " + w for w in todo])))
-        whole = iter(self._encode([x if p is None else p[0] for x, p in zip(batch, cut)]))
-        memo = self.memo.__getitem__
-        return [next(whole) + (b"" if p is None else b"".join(map(memo, p[1:]))) for p in cut]
+        library = Tokenizer.from_str(source.decode())
+        if library.normalizer is not None or not isinstance(library.pre_tokenizer, ByteLevel):
+            raise ValueError("only byte-level tokenizers without a normalizer are supported")
+        super().__init__(memo, [t.content for t in library.get_added_tokens_decoder().values()])
+        self.library, self.split, self.model = library, library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+
+    def special_id(self, token: str) -> int:
+        return self.library.token_to_id(token)
+
+    def new(self, parts: list[str]) -> Iterator[bytes]:
+        model, split, letters = self.model, self.split, self.letters
+        for part in parts:
+            if part[1:].isalpha() and part[0] == " " and (part.isascii() or max(part) < FURTHER):
+                yield pack([t.id for t in model("\u0120" + part[1:] if part.isascii() else part.encode().decode("latin-1").translate(letters))])
+            else:
+                yield pack([t.id for word, _ in split(part) for t in model(word)])
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def pack(ids: list[int]) -> bytes:
+    """Little-endian, 32 bits each."""
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[bytes, LibraryEncoder] = {}
@@ -178,6 +180,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer:
         batches = slices(batches, "text")
         if (first := next(batches, None)) is None:
             return
+        gc.disable()  # millions of small objects, none in a cycle
         encoder, task = _encoder(shared.value), TaskContext.get()
         files, base = file_system(folder)
         files.create_dir(base, recursive=True)
