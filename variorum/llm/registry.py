@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import bpe, exact_dedup, simhash, token_file
+from variorum.llm import bpe, exact_dedup, language, language_model, mixing, quality, simhash, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_quality": quality.op2_quality,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_language_model": language_model.op4_language_model,
         "op5_bpe": bpe.op5_bpe,
         "op6_token_file": token_file.op6_token_file,
+        "op7_language": language.op7_language,
         "op9_simhash": simhash.op9_simhash,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
