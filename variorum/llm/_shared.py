@@ -77,6 +77,18 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def hash_sample(rows: DataFrame, keys: list[str], n: int, most: int) -> list:
+    """At most ``most`` of n rows, those first in the order of a hash of their keys, brought to the driver.
+
+    Rows whose hash is above what a third more than ``most`` would need are left where they are, so neither a task nor
+    the driver gets more than a bounded number.
+    """
+    share = min(1.0, (1.34 * most + 100) / max(1, n))
+    h = F.xxhash64(F.lit(77), *keys)
+    bound = int(share * (1 << 64)) - (1 << 63) - 1
+    return rows.filter(h <= F.lit(bound)).orderBy(h, *keys).limit(most).collect()
+
+
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, copies: str, bound: int = 2048) -> DataFrame:
     """Left join of rows with a table that has each key once and says in ``copies`` how many rows have it.
 

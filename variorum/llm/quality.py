@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import documents, is_held_out, slices
+from variorum.llm._shared import documents, hash_sample, is_held_out, slices
 
 #: Bytes of a chunk, of its step; bytes between two places of a filter.
 CHUNK, STEP, STRIDE = 256, 192, 4
@@ -168,9 +168,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     known = known.dropDuplicates(["_id"])
     text = F.coalesce("text", F.lit(""))
     sized = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).filter(F.octet_length("_text") <= longest)
-    order = [F.xxhash64("_id"), F.col("_id")]
-    picked = known.filter("_label = 1").orderBy(*order).limit(most).unionByName(known.filter("_label = 0").orderBy(*order).limit(most))
-    rows = sized.join(F.broadcast(picked), "_id").select("_id", "_text", "_label").collect()
+    sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    picked = [r for y in (1, 0) for r in hash_sample(known.filter(F.col("_label") == y), ["_id"], sizes.get(y, 0), most)]
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], known.schema)
+    rows = sized.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").collect()
     return [(r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))]
 
 
@@ -207,5 +208,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_texts(docs, train(docs, labels), MODULUS, HELD_OUT)
 
 
+def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that score below THRESHOLD; all columns as they were, and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, labels)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(shared.value)
+        for batch in slices(batches, "text"):
+            score = np.asarray(model.score([(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]))
+            yield batch.filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import bpe, exact_dedup, language, language_model, mixing, quality, simhash, token_file, toxicity
+import corpus_pipeline
+from variorum.llm import bpe, exact_dedup, language, language_model, mixing, neighbours, quality, simhash, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,7 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": bpe.op5_bpe,
         "op6_token_file": token_file.op6_token_file,
         "op7_language": language.op7_language,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op9_simhash": simhash.op9_simhash,
+        "pipeline": corpus_pipeline.run,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
