@@ -32,6 +32,8 @@ from variorum.llm._shared import documents, materialize, slices, texts
 
 #: Entries of the lexicon, bytes of its longest entry, pieces that a worker remembers, words that one partial count holds.
 LEXICON, LONGEST, MEMO, PARTIAL = 1 << 17, 40, 600_000, 500_000
+#: Bytes of text that are encoded together.
+SLICE = 8 << 20
 #: Fixed value: the word pattern of byte-level BPE.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The first character after the Latin blocks, whose categories no longer change.
@@ -40,6 +42,7 @@ FURTHER = "\u0250"
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _NONE = np.int64(1 << 40)
 _BLANK_BEFORE_BLANK = re.compile(r"\s ")
+_BLANK_BEFORE_BLANK_RE2 = r"[\s\v\x{1c}-\x{1f}\x{85}\pZ] "
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -333,8 +336,8 @@ class Memo:
             self.now, self.older = {}, self.now
         found = list(map(self.now.get, wanted))
         now, older = self.now, self.older
-        for k, ids in enumerate(found):
-            if ids is None and (ids := older.get(wanted[k])) is not None:
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            if (ids := older.get(wanted[k])) is not None:
                 found[k] = now[wanted[k]] = ids
         return found
 
@@ -345,8 +348,8 @@ class PieceEncoder:
     def __init__(self, memo: int, special: Iterable[str]) -> None:
         self.memo = Memo(memo)
         self.tails: dict[str, bytes] = {}
-        found = sorted(special, key=len, reverse=True)
-        self.special_pattern = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
+        self.specials = sorted(special, key=len, reverse=True)
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
     def new(self, parts: list[str]) -> Iterable[bytes]:
         """Ids of strings that begin where a word begins."""
@@ -364,14 +367,14 @@ class PieceEncoder:
         """Ids of distinct pieces, each after a blank. Letters and a tail of signs are two words, so their ids are joined."""
         found = self.memo.get(parts)
         joined, rest = [], []
-        for k, ids in enumerate(found):
-            if ids is None:
-                piece = parts[k]
-                core = piece if piece.isalpha() else piece.rstrip(SIGNS)
-                if core is not piece and core.isalpha() and (core.isascii() or max(core) < FURTHER):
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            piece = parts[k]
+            if not piece.isalpha():
+                core = piece.rstrip(SIGNS)
+                if core.isalpha() and core is not piece and (core.isascii() or max(core) < FURTHER):
                     joined.append((k, core, piece[len(core) :]))
-                else:
-                    rest.append(k)
+                    continue
+            rest.append(k)
         self._remember([parts[k] for k in rest])
         now = self.memo.now
         for k in rest:
@@ -403,17 +406,22 @@ class PieceEncoder:
                 out += [*self.new([first]), *(ids[place[p]] for p in others)]
         return b"".join(out)
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        special, odd = self.special_pattern, {}
-        for k, text in enumerate(batch):
-            if _BLANK_BEFORE_BLANK.search(text) or special and special.search(text):
-                odd[k] = text
-        plain = pa.array(["" if k in odd else t for k, t in enumerate(batch)] if odd else batch, pa.string())
+    def encode(self, batch: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; null is the empty text."""
+        plain = batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string())
+        if plain.null_count:
+            plain = pc.fill_null(plain, "")
+        odd = pc.match_substring_regex(plain, _BLANK_BEFORE_BLANK_RE2)
+        for token in self.specials:
+            odd = pc.or_(odd, pc.match_substring(plain, token))
+        others = dict.fromkeys(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist())
+        if others:
+            others = dict(zip(others, plain.filter(odd).to_pylist()))
+            plain = pc.if_else(odd, "", plain)
         cut = pc.split_pattern(plain, " ")
         coded = cut.values.dictionary_encode()
         offsets = cut.offsets.to_numpy()
-        index = coded.indices.to_numpy().astype(np.int64)
+        index = coded.indices.to_numpy().copy()
         parts = coded.dictionary.to_pylist()
         # the first piece of each text has no blank before it
         firsts: dict[int, int] = {}
@@ -421,14 +429,20 @@ class PieceEncoder:
             firsts.setdefault(k, len(parts) + len(firsts))
         index[offsets[:-1]] = [firsts[k] for k in index[offsets[:-1]].tolist()]
         ids = self.ids_of(parts) + list(self.new([parts[k] for k in firsts]))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        start = (np.cumsum(size) - size).astype(np.int32)
         flat = np.frombuffer(b"".join(ids), "<u4")
         n = size[index]
-        ends = np.cumsum(n)
-        raw = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[index] - (ends - n), n)].tobytes()
+        ends = np.cumsum(n, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total, dtype=np.int32)
+        place += np.repeat(start[index] - (ends - n).astype(np.int32), n)
+        raw = flat[place].tobytes()
         stops = (4 * np.concatenate(([0], ends))[offsets]).tolist()
-        return [self._odd(odd[k]) if k in odd else raw[i:j] for k, (i, j) in enumerate(zip(stops, stops[1:]))]
+        out = [raw[i:j] for i, j in zip(stops, stops[1:])]
+        for k, text in others.items():
+            out[k] = self._odd(text)
+        return out
 
 
 class Encoder(PieceEncoder):
@@ -547,8 +561,8 @@ def encode_documents(docs: DataFrame, *, tokenizer: str | None = None, lexicon:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of small objects, none in a cycle
         encoder = _encoder(*shared.value)
-        for batch in slices(batches, "text"):
-            ids = encoder.encode(texts(batch))
+        for batch in slices(batches, "text", SLICE):
+            ids = encoder.encode(batch.column("text"))
             decoded = [hashlib.sha256(x.encode()).hexdigest() for x in encoder.decode(ids)]
             columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, schema=schema)

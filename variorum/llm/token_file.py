@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from variorum.llm._shared import documents, materialize, scratch, slices, text_bytes, texts
-from variorum.llm.bpe import FURTHER, PieceEncoder, byte_letters, tokenizer_path
+from variorum.llm._shared import documents, materialize, scratch, slices, text_bytes
+from variorum.llm.bpe import FURTHER, SLICE, PieceEncoder, byte_letters, tokenizer_path
 
 #: Bytes of ids in a frame, bytes of text for a file, id of the end token, pieces that a worker remembers.
 FRAME, FILE, END, MEMO = 1 << 18, 32 << 20, 2, 600_000
@@ -47,7 +47,7 @@ def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 class Writer:
     """Writes documents one after another; a document may fill a frame of its own, however long it is."""
 
-    def __init__(self, sink, frame: int = FRAME, level: int = 3) -> None:
+    def __init__(self, sink, frame: int = FRAME, level: int = 1) -> None:
         self.sink, self.frame, self.pack = sink, frame, zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.table: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int, int, int, int, int]] = []
@@ -128,6 +128,7 @@ class LibraryEncoder(PieceEncoder):
             raise ValueError("only byte-level tokenizers without a normalizer are supported")
         super().__init__(memo, [t.content for t in library.get_added_tokens_decoder().values()])
         self.library, self.split, self.model = library, library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
+        self.words: dict[str, bytes] = {}
         self.letters = {b: letter for letter, b in byte_letters().items()}
 
     def special_id(self, token: str) -> int:
@@ -135,11 +136,20 @@ class LibraryEncoder(PieceEncoder):
 
     def new(self, parts: list[str]) -> Iterator[bytes]:
         model, split, letters = self.model, self.split, self.letters
+        words = self.words
         for part in parts:
             if part[1:].isalpha() and part[0] == " " and (part.isascii() or max(part) < FURTHER):
                 yield pack([t.id for t in model("\u0120" + part[1:] if part.isascii() else part.encode().decode("latin-1").translate(letters))])
-            else:
-                yield pack([t.id for word, _ in split(part) for t in model(word)])
+                continue
+            ids = b""
+            for word, _ in split(part):
+                known = words.get(word)
+                if known is None:
+                    if len(words) >= 50_000:
+                        words.clear()
+                    known = words[word] = pack([t.id for t in model(word)])
+                ids += known
+            yield ids
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -177,7 +187,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer:
     schema = pa.schema([("file", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = slices(batches, "text")
+        batches = slices(batches, "text", SLICE)
         if (first := next(batches, None)) is None:
             return
         gc.disable()  # millions of small objects, none in a cycle
@@ -189,7 +199,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer:
         with files.open_output_stream(own) as sink:
             writer = Writer(sink)
             while first is not None:
-                for doc_id, ids in zip(first.column("doc_id").to_pylist(), encoder.encode(texts(first))):
+                for doc_id, ids in zip(first.column("doc_id").to_pylist(), encoder.encode(first.column("text"))):
                     writer.add(doc_id, ids + closing)
                 first = next(batches, None)
             writer.close()
