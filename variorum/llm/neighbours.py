@@ -7,7 +7,7 @@ is scored against codes through a table of its products with all codewords, scal
 ``KEPT`` are scored exactly on the original vectors.
 
 The query set is searched against all vectors in blocks: each block of vectors meets each block of queries once, by an
-equi-join on the query block's number. Equal vectors are indexed once, so that a vector with very many copies neither
+equi-join on the query block's number, and a task keeps the best of its group of vector blocks. Equal vectors are indexed once, so that a vector with very many copies neither
 fills the candidates nor makes a hot key; only as many of its ids as an answer can hold are kept beside it.
 """
 
@@ -26,8 +26,8 @@ from variorum.llm._shared import hash_sample, join_unique, materialize
 
 #: Codebooks, codewords of each, beam of the encoder, vectors that the index is fitted on, rounds of fitting.
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS, SEED = 8, 256, 8, 16_384, 4, 8
-#: Candidates that are scored exactly, neighbours of a query, vectors of a block, queries of a block, each how manieth row is a query.
-KEPT, NEIGHBOURS, BLOCK, QUERIES, EVERY = 200, 20, 8192, 1024, 20
+#: Candidates that are scored exactly, neighbours of a query, vectors of a block, blocks of a group, queries of a block, each how manieth row is a query.
+KEPT, NEIGHBOURS, BLOCK, GROUP, QUERIES, EVERY = 200, 20, 8192, 64, 128, 20
 
 
 class Quantizer:
@@ -184,28 +184,34 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 
     query_blocks, count = _blocks(wide.mapInArrow(flatten, "rep long, vector binary"), queries.count(), QUERIES, "query_block", {"rep": "<i8", "vector": "raw"})
     query_blocks = materialize(query_blocks.select("query_block", F.col("rep").alias("query_reps"), "vector"), "query-blocks")
-    meetings = materialize(vector_blocks, "vector-blocks").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(query_blocks, "query_block")
+    grouped = materialize(vector_blocks, "vector-blocks").withColumn("vector_group", F.floor(F.col("vector_block") / GROUP).cast("int"))
+    meetings = grouped.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(query_blocks, "query_block")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(table: pa.Table) -> pa.Table:
         index = pickle.loads(shared.value)
-        for batch in batches:
-            for row in batch.to_pylist():
-                reps, asked = np.frombuffer(row["rep"], "<i8"), np.frombuffer(row["query_reps"], "<i8")
-                codes, norm = np.frombuffer(row["code"], np.uint8).reshape(len(reps), -1), np.frombuffer(row["norm"], "<f4")
-                q = np.frombuffer(row["vector"], "<f4").reshape(len(asked), -1)
-                for at in range(0, len(q), 128):
-                    table = index.table(q[at : at + 128])
-                    scores = np.zeros((table.shape[1], len(reps)), np.float32)
-                    for b in range(len(table)):
-                        scores += table[b][:, codes[:, b]]
-                    scores *= norm
-                    picks = list(best_of(scores, kept))
-                    who = np.repeat(asked[at : at + 128], [len(p) for p in picks])
-                    found = np.concatenate([reps[p] for p in picks])
-                    near = np.concatenate([s[p] for s, p in zip(scores, picks)])
-                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(found), pa.array(near)], names=["query", "rep", "near"])
-
-    found = meetings.repartition(F.col("vector_block"), F.col("query_block")).mapInArrow(search, "query long, rep long, near float")
+        blocks = [(np.frombuffer(r, "<i8"), np.frombuffer(c, np.uint8), np.frombuffer(n, "<f4")) for r, c, n in zip(*(table.column(k).to_pylist() for k in ("rep", "code", "norm")))]
+        asked = np.frombuffer(table.column("query_reps")[0].as_py(), "<i8")
+        q = np.frombuffer(table.column("vector")[0].as_py(), "<f4").reshape(len(asked), -1)
+        products = index.table(q)
+        found: list[list] = [[] for _ in asked]
+        for reps, codes, norm in blocks:
+            codes = codes.reshape(len(reps), -1)
+            scores = np.zeros((len(asked), len(reps)), np.float32)
+            for b in range(len(products)):
+                scores += products[b][:, codes[:, b]]
+            scores *= norm
+            for k, p in enumerate(best_of(scores, kept)):
+                found[k].append((reps[p], scores[k, p]))
+        who, ids, near = [], [], []
+        for k, parts in enumerate(found):
+            r, s = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            p = np.lexsort((r, -s))[:kept]
+            who.append(np.full(len(p), asked[k]))
+            ids.append(r[p])
+            near.append(s[p])
+        return pa.table({"query": np.concatenate(who), "rep": np.concatenate(ids), "near": np.concatenate(near)})
+
+    found = meetings.groupBy("query_block", "vector_group").applyInArrow(search, "query long, rep long, near float")
     nearest_first = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
     found = found.withColumn("place", F.row_number().over(nearest_first)).filter(F.col("place") <= kept).select("query", "rep")
     exact = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
