@@ -31,9 +31,9 @@ from tokenizers.pre_tokenizers import ByteLevel
 from variorum.llm._shared import documents, materialize, slices, texts
 
 #: Entries of the lexicon, bytes of its longest entry, pieces that a worker remembers, words that one partial count holds.
-LEXICON, LONGEST, MEMO, PARTIAL = 1 << 17, 40, 600_000, 500_000
+LEXICON, LONGEST, MEMO, PARTIAL = 1 << 17, 40, 300_000, 250_000
 #: Bytes of text that are encoded together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Fixed value: the word pattern of byte-level BPE.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The first character after the Latin blocks, whose categories no longer change.
@@ -499,6 +499,12 @@ def _encoder(source: bytes, content: bytes) -> Encoder:
     return _encoders[key]
 
 
+def settle() -> None:
+    """At a task's end: the worker lives on, so what it no longer needs goes back to the machine."""
+    gc.enable()
+    pa.default_memory_pool().release_unused()
+
+
 def piece_counts(docs: DataFrame, partial: int = PARTIAL) -> DataFrame:
     """(piece, n) over all documents; a task's partial counts are passed on whenever they hold ``partial`` pieces."""
     schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
@@ -518,6 +524,7 @@ def piece_counts(docs: DataFrame, partial: int = PARTIAL) -> DataFrame:
             if len(counts) >= partial:
                 yield out()
         yield out()
+        settle()
 
     return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
@@ -566,6 +573,7 @@ def encode_documents(docs: DataFrame, *, tokenizer: str | None = None, lexicon:
             decoded = [hashlib.sha256(x.encode()).hexdigest() for x in encoder.decode(ids)]
             columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, schema=schema)
+        settle()
 
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 

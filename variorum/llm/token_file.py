@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from variorum.llm._shared import documents, materialize, scratch, slices, text_bytes
-from variorum.llm.bpe import FURTHER, SLICE, PieceEncoder, byte_letters, tokenizer_path
+from variorum.llm.bpe import FURTHER, PieceEncoder, byte_letters, tokenizer_path
 
-#: Bytes of ids in a frame, bytes of text for a file, id of the end token, pieces that a worker remembers.
-FRAME, FILE, END, MEMO = 1 << 18, 32 << 20, 2, 600_000
+#: Bytes of ids in a frame, bytes of text for a file, bytes of text that are encoded together, id of the end token, pieces that a worker remembers.
+FRAME, FILE, SLICE, END, MEMO = 1 << 18, 32 << 20, 8 << 20, 2, 600_000
 #: Fixed values of the public format.
 SEEK_FRAME, INDEX_FRAME, SEEK_END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _TABLE = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
