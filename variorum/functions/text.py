@@ -19,9 +19,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 NUMBER = r"[+-]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*(?:[./-][A-Za-z0-9_]+)*"
 SENTENCE_VERB = (
-    r"(?i)\b(?:shall|should|must|may|can|is|are|was|were|be|been|being|means|defines?|describes?|specifies?|specified|"
-    r"measured|computed|used|found|shown|meet|meets|differ|differs|provide|provided|use|uses|refer|requires?|contains?)\b"
+    r"(?i)(?:^|[^\pL\pN_])(?:shall|should|must|may|can|is|are|was|were|be|been|being|means|defines?|describes?|specifies?|specified|"
+    r"measured|computed|used|found|shown|meet|meets|differ|differs|provide|provided|use|uses|refer|requires?|contains?)(?:[^\pL\pN_]|$)"
 )
+NAMED_NUMBER = r"(?:^|[^\pL\pN_])[a-z]+[0-9]+(?:[-_/][a-z0-9]+)*(?:[^\pL\pN_]|$)"
 EMAIL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -64,7 +65,7 @@ def has_number(c: Column) -> Column:
 
 
 def has_identifier(c: Column) -> Column:
-    return F.lower(c).rlike(r"\b[a-z]+[0-9]+(?:[-_/][a-z0-9]+)*\b")
+    return F.lower(c).rlike(NAMED_NUMBER)
 
 
 def has_verb(c: Column) -> Column:
@@ -328,14 +329,14 @@ def number_phrase(words: list[str], at: int) -> tuple[int, int] | None:
             if scale == 100:
                 current *= 100
             else:
-                total, current = total + current * scale, 0
+                total, current = total + current * scale, None
             used += 1
             end = used
         elif words[used] == "and" and end == used and end > at and used + 1 < len(words) and (words[used + 1].split("-")[0] in NUMBER_WORDS or words[used + 1].split("-")[0] in TENS):
             used += 1
         else:
             break
-    return None if current is None or end == at else (total + current, end - at)
+    return None if end == at else (total + (current or 0), end - at)
 
 
 def counted_words(tokens: list[str]) -> list[str]:

@@ -206,7 +206,7 @@ def change_counts_rollup(spark, sf_dir):
 
 
 _VERB = T.SENTENCE_VERB.replace("'", "''")
-_PRIORITY = rf"CASE WHEN regexp_matches({{0}}, '[0-9]') THEN 4 WHEN regexp_matches(lower({{0}}), '\b[a-z]+[0-9]+(?:[-_/][a-z0-9]+)*\b') THEN 3 WHEN regexp_matches({{0}}, '{_VERB}') THEN 2 ELSE 1 END"
+_PRIORITY = rf"CASE WHEN regexp_matches({{0}}, '[0-9]') THEN 4 WHEN regexp_matches(lower({{0}}), '{T.NAMED_NUMBER}') THEN 3 WHEN regexp_matches({{0}}, '{_VERB}') THEN 2 ELSE 1 END"
 _CHANGED = f"""{_OCC}, ev AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.line, n.line) AS line, coalesce(o.ord, n.ord) AS pos, CASE WHEN o.line IS NULL THEN 2 ELSE 1 END AS r
   FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.line = n.line AND o.occ = n.occ WHERE o.line IS NULL OR n.line IS NULL)"""
 

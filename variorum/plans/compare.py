@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from variorum.functions import text as T
 from variorum.operators import delta, match, quality, segment
 from variorum.plans.options import Options
+from variorum.session import stored
 
 
 @dataclass(frozen=True)
@@ -43,11 +44,11 @@ def sections_of(pages: DataFrame, doc: list[str], options: Options) -> DataFrame
 def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = Options()) -> Comparison:
     old = quality.page_range(old, options.old_start_page, options.old_end_page)
     new = quality.page_range(new, options.new_start_page, options.new_end_page)
-    identical = match.identical_pairs(old, new, doc, "page_no", "text").persist()
+    identical = stored(match.identical_pairs(old, new, doc, "page_no", "text"), "identical")
     rest_old, rest_new = old.join(identical, doc, "left_anti"), new.join(identical, doc, "left_anti")
-    # sections feed several stages; they are kept, spilling to disk where memory is short
-    a, b = sections_of(rest_old, doc, options).persist(), sections_of(rest_new, doc, options).persist()
-    matches = match.match_sections(a, b, doc, least=options.section_similarity).persist()
+    # what feeds several stages is stored: it is made once, and plans stay small
+    a, b = stored(sections_of(rest_old, doc, options), "old-sections"), stored(sections_of(rest_new, doc, options), "new-sections")
+    matches = stored(match.match_sections(a, b, doc, least=options.section_similarity), "matches")
     pairs = matches.filter("old_ord is not null and new_ord is not null").select(*doc, "old_ord", "new_ord")
     group = [*doc, "old_ord", "new_ord"]
 
@@ -57,7 +58,7 @@ def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = O
         blocks = segment.merged_lines(rows, group, ["line_no"])
         return segment.units(blocks, group, ["block"])
 
-    old_units, new_units = side_units(a, "old").persist(), side_units(b, "new").persist()
+    old_units, new_units = stored(side_units(a, "old"), "old-units"), stored(side_units(b, "new"), "new-units")
     unit_pairs = match.pair_units(old_units, new_units, group, least=options.unit_similarity)
     events = delta.top_snippets(delta.unit_events(old_units, new_units, unit_pairs, group).filter("kind <> 'unchanged'"), group, options.snippets)
     complete = lambda pages, sections: sections.select(*doc, "ord").withColumn("whole", F.lit(True)) if "layout_risk" not in pages.columns else match.containing_section(
