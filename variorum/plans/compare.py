@@ -6,7 +6,9 @@ DataFrames; nothing is collected. Pairs that are equal are taken out before anyt
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,23 +22,28 @@ from variorum.session import stored
 @dataclass(frozen=True)
 class Comparison:
     """identical: pairs taken out; sections of both sides (column side); matches; changes (audit); view (for readers);
-    units events with display flags; counts; assessment."""
+    counts; assessment; events: units with display flags, made when first asked for."""
 
     identical: DataFrame
     sections: DataFrame
     matches: DataFrame
     changes: DataFrame
     view: DataFrame
-    events: DataFrame
     counts: DataFrame
     assessment: DataFrame
+    unit_events: Callable[[], DataFrame]
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self.unit_events()
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        names = ("identical", "sections", "matches", "changes", "view", "counts", "assessment", "events")
+        return {name: getattr(self, name) for name in names}
 
 
 def sections_of(pages: DataFrame, doc: list[str], options: Options) -> DataFrame:
-    """Sections of one side: lines without page counters, then headings."""
+    """Sections: lines without page counters, then headings. Both sides go through it together, told apart by a column of doc."""
     rows = segment.lines(pages.select(*doc, "page_no", F.col("text")), keep=[*doc, "page_no"])
     return segment.sections(segment.without_page_counters(rows, doc), doc)
 
@@ -47,7 +54,9 @@ def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = O
     identical = stored(match.identical_pairs(old, new, doc, "page_no", "text"), "identical")
     rest_old, rest_new = old.join(identical, doc, "left_anti"), new.join(identical, doc, "left_anti")
     # what feeds several stages is stored: it is made once, and plans stay small
-    a, b = stored(sections_of(rest_old, doc, options), "old-sections"), stored(sections_of(rest_new, doc, options), "new-sections")
+    sides = rest_old.select(*doc, "page_no", "text", F.lit("old").alias("side")).unionByName(rest_new.select(*doc, "page_no", "text", F.lit("new").alias("side")))
+    both = stored(sections_of(sides, [*doc, "side"], options), "sections")
+    a, b = both.filter("side = 'old'").drop("side"), both.filter("side = 'new'").drop("side")
     matches = stored(match.match_sections(a, b, doc, least=options.section_similarity), "matches")
     pairs = matches.filter("old_ord is not null and new_ord is not null").select(*doc, "old_ord", "new_ord")
     group = [*doc, "old_ord", "new_ord"]
@@ -58,9 +67,11 @@ def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = O
         blocks = segment.merged_lines(rows, group, ["line_no"])
         return segment.units(blocks, group, ["block"])
 
-    old_units, new_units = stored(side_units(a, "old"), "old-units"), stored(side_units(b, "new"), "new-units")
-    unit_pairs = match.pair_units(old_units, new_units, group, least=options.unit_similarity)
-    events = delta.top_snippets(delta.unit_events(old_units, new_units, unit_pairs, group).filter("kind <> 'unchanged'"), group, options.snippets)
+    def events() -> DataFrame:
+        old_units, new_units = stored(side_units(a, "old"), "old-units"), stored(side_units(b, "new"), "new-units")
+        unit_pairs = match.pair_units(old_units, new_units, group, least=options.unit_similarity)
+        return delta.top_snippets(delta.unit_events(old_units, new_units, unit_pairs, group).filter("kind <> 'unchanged'"), group, options.snippets)
+
     complete = lambda pages, sections: sections.select(*doc, "ord").withColumn("whole", F.lit(True)) if "layout_risk" not in pages.columns else match.containing_section(
         pages.select(*doc, "page_no", F.coalesce("layout_risk", F.lit(False)).alias("_r")), sections, doc
     ).groupBy(*doc, "ord").agg((~F.bool_or("_r")).alias("whole"))
@@ -74,8 +85,7 @@ def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = O
     metrics = lambda pages, sections: quality.document_metrics(pages, doc).join(quality.section_metrics(sections, doc), doc, "left")
     assessment = quality.pair_assessment(metrics(rest_old, a), metrics(rest_new, b), doc, pairing=quality.pairing_counts(matches, doc))
     assessment = assessment.unionByName(identical.select(*doc, F.lit("reliable").alias("state"), F.array().cast("array<string>").alias("reasons")))
-    both = a.withColumn("side", F.lit("old")).unionByName(b.withColumn("side", F.lit("new")))
-    return Comparison(identical, both, matches, changes, delta.reader_view(changes), events, quality.change_counts(changes, doc), assessment)
+    return Comparison(identical, both, matches, changes, delta.reader_view(changes), quality.change_counts(changes, doc), assessment, events)
 
 
 def run_comparison(spark: SparkSession, old_path: str, new_path: str, out: str, options: Options = Options(), doc: list[str] | None = None) -> Comparison:
