@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from variorum.llm._shared import hash_sample, join_unique, materialize
 
 #: Codebooks, codewords of each, beam of the encoder, vectors that the index is fitted on, rounds of fitting.
-BOOKS, WORDS, BEAM, SAMPLE, ROUNDS, SEED = 8, 256, 8, 16_384, 4, 8
+BOOKS, WORDS, BEAM, SAMPLE, ROUNDS, SEED = 32, 256, 4, 16_384, 0, 8
 #: Candidates that are scored exactly, neighbours of a query, vectors of a block, blocks of a group, queries of a block, each how manieth row is a query.
 KEPT, NEIGHBOURS, BLOCK, GROUP, QUERIES, EVERY = 200, 20, 8192, 64, 128, 20
 
@@ -33,10 +33,7 @@ KEPT, NEIGHBOURS, BLOCK, GROUP, QUERIES, EVERY = 200, 20, 8192, 64, 128, 20
 class Quantizer:
     def __init__(self, books: np.ndarray) -> None:
         self.books = books.astype(np.float32)  # book, word, dimension
-        m, k, d = books.shape
-        flat = self.books.reshape(m * k, d)
-        self.products = (flat @ flat.T).reshape(m, k, m, k)
-        self.norms = (flat * flat).sum(axis=1).reshape(m, k)
+        self.norms = (self.books * self.books).sum(axis=2)
 
     @staticmethod
     def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, seed: int = SEED) -> Quantizer:
@@ -76,18 +73,17 @@ class Quantizer:
         for at in range(0, len(x), block):
             part = x[at : at + block].astype(np.float32)
             n = len(part)
-            dot = (part @ self.books.reshape(m * k, d).T).reshape(n, m, k)
+            rest, error = part[:, None, :], np.zeros((n, 1), np.float32)
             codes = np.zeros((n, 1, 0), np.int64)
-            error = np.zeros((n, 1), np.float32)
             for b in range(m):
-                new = error[:, :, None] + (self.norms[b] - 2 * dot[:, b])[:, None, :]
-                for p in range(b):
-                    new = new + 2 * self.products[p, codes[:, :, p], b]
-                new = new.reshape(n, -1)
+                dot = (rest.reshape(-1, d) @ self.books[b].T).reshape(n, -1, k)
+                new = (error[:, :, None] + self.norms[b] - 2 * dot).reshape(n, -1)
                 width = min(beam, new.shape[1])
                 best = np.argpartition(new, width - 1, axis=1)[:, :width]
                 error = np.take_along_axis(new, best, axis=1)
-                codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], axis=1), (best % k)[:, :, None]], axis=2)
+                parent, word = best // k, best % k
+                rest = np.take_along_axis(rest, parent[:, :, None], axis=1) - self.books[b][word]
+                codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], axis=1), word[:, :, None]], axis=2)
             out[at : at + n] = np.take_along_axis(codes, error.argmin(axis=1)[:, None, None], axis=1)[:, 0]
         return out
 
@@ -95,7 +91,8 @@ class Quantizer:
         return sum(self.books[b, codes[:, b]] for b in range(len(self.books)))
 
     def table(self, queries: np.ndarray) -> np.ndarray:
-        return np.einsum("qd,bkd->bqk", queries.astype(np.float32), self.books, optimize=True)
+        """Products of each codeword with each query: book, word, query."""
+        return self.books @ queries.astype(np.float32).T
 
 
 def best_of(scores: np.ndarray, kept: int) -> Iterator[np.ndarray]:
@@ -196,10 +193,10 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         found: list[list] = [[] for _ in asked]
         for reps, codes, norm in blocks:
             codes = codes.reshape(len(reps), -1)
-            scores = np.zeros((len(asked), len(reps)), np.float32)
+            scores = np.zeros((len(reps), len(asked)), np.float32)
             for b in range(len(products)):
-                scores += products[b][:, codes[:, b]]
-            scores *= norm
+                scores += products[b][codes[:, b]]
+            scores = np.ascontiguousarray((scores * norm[:, None]).T)
             for k, p in enumerate(best_of(scores, kept)):
                 found[k].append((reps[p], scores[k, p]))
         who, ids, near = [], [], []
