@@ -193,7 +193,7 @@ def caption_descriptor(c: Column) -> Column:
 
 def caption_family(c: Column) -> Column:
     """A caption's number without its last part."""
-    return F.regexp_replace(caption_number(c), r"[.-][^.-]*$", "")
+    return F.regexp_replace(caption_number(c), r"(?:^|[.-])[^.-]*$", "")
 
 
 def is_page_counter(c: Column) -> Column:

@@ -9,6 +9,7 @@ from variorum.functions import similarity as S
 from variorum.functions import text as T
 from variorum.operators.bags import dice_similarity
 from variorum.operators.ordered import continuation_runs, crossing, mutual_best, offset_support, unique_only
+from variorum.session import stored
 
 IDENTITY_LABELS = ("parameter", "characteristic", "symbol", "item", "name", "description", "field")
 SIMILAR = 0.65
@@ -88,15 +89,17 @@ def pair_tables(old: DataFrame, new: DataFrame, old_rows: DataFrame, new_rows: D
     review; the rest is one-sided. Row bags meet through equal row identities, so no pair without a shared row is made.
     """
     caption = lambda rows, name: rows.select(*doc, F.col("table_id").alias(name), F.lower(T.collapsed(F.col("caption"))).alias("caption"), T.caption_descriptor(F.col("caption")).alias("descriptor"), T.caption_family(F.col("caption")).alias("family"), F.regexp_extract(T.caption_number(F.col("caption")), r"(\d+)$", 1).try_cast("int").alias("number"))
-    a, b = caption(old, "old_table"), caption(new, "new_table")
+    # each stage is stored: the next ones ask for what it left more than once
+    a, b = stored(caption(old, "old_table"), "captions"), stored(caption(new, "new_table"), "captions")
     same = unique_only(a.filter("caption <> ''"), [*doc, "caption"]).select(*doc, "caption", "old_table").join(unique_only(b.filter("caption <> ''"), [*doc, "caption"]).select(*doc, "caption", "new_table"), [*doc, "caption"])
-    done = same.select(*doc, "old_table", "new_table", F.lit(1.0).alias("score"), F.lit("same_caption").alias("basis"))
+    done = stored(same.select(*doc, "old_table", "new_table", F.lit(1.0).alias("score"), F.lit("same_caption").alias("basis")), "same-caption")
     left_a, left_b = a.join(done, [*doc, "old_table"], "left_anti"), b.join(done, [*doc, "new_table"], "left_anti")
     named = unique_only(left_a.filter("descriptor <> ''"), [*doc, "descriptor"]).select(*doc, "descriptor", "old_table", "family", F.col("number").alias("o"))
     told = named.join(unique_only(left_b.filter("descriptor <> ''"), [*doc, "descriptor"]).select(*doc, "descriptor", "new_table", F.col("family").alias("new_family"), F.col("number").alias("n")), [*doc, "descriptor"]).filter("family = new_family and o is not null and n is not null")
+    told = stored(told, "descriptors")
     shifts = offset_support(told, [*doc, "family"], "o", "n")
     renumbered = told.withColumn("offset", F.col("n") - F.col("o")).join(shifts.select(*doc, "family", "offset"), [*doc, "family", "offset"], "left_semi")
-    done = done.unionByName(renumbered.select(*doc, "old_table", "new_table", F.lit(1.0).alias("score"), F.lit("descriptive_renumbering").alias("basis")))
+    done = stored(done.unionByName(renumbered.select(*doc, "old_table", "new_table", F.lit(1.0).alias("score"), F.lit("descriptive_renumbering").alias("basis"))), "renumbered")
     left_a, left_b = a.join(done, [*doc, "old_table"], "left_anti"), b.join(done, [*doc, "new_table"], "left_anti")
     keys = lambda rows, name: rows.select(*doc, F.col("table_id").alias(name), "display", "identity")
     ra, rb = keys(old_rows, "old_table").join(left_a.select(*doc, "old_table"), [*doc, "old_table"], "left_semi"), keys(new_rows, "new_table").join(left_b.select(*doc, "new_table"), [*doc, "new_table"], "left_semi")
@@ -104,8 +107,8 @@ def pair_tables(old: DataFrame, new: DataFrame, old_rows: DataFrame, new_rows: D
     bags = dice_similarity(ra.join(met, [*doc, "old_table"]).select(*doc, "old_table", "new_table", "display"), rb.join(met, [*doc, "new_table"]).select(*doc, "old_table", "new_table", "display"), [*doc, "old_table", "new_table"], ["display"])
     scored = bags.join(left_a.select(*doc, "old_table", F.col("caption").alias("_a")), [*doc, "old_table"]).join(left_b.select(*doc, "new_table", F.col("caption").alias("_b")), [*doc, "new_table"])
     scored = scored.filter(F.col("dice") >= least).withColumn("score", F.least("dice", S.exact_ratio_udf("_a", "_b"))).filter(F.col("score") >= least).select(*doc, "old_table", "new_table", "score")
-    fuzzy = crossing(mutual_best(scored, doc, "old_table", "new_table", "score"), doc, "old_table", "new_table")
-    done = done.unionByName(fuzzy.select(*doc, "old_table", "new_table", "score", F.when(F.col("crosses"), "ambiguous_order_conflict").otherwise("similar").alias("basis")))
+    fuzzy = crossing(mutual_best(stored(scored, "similar"), doc, "old_table", "new_table", "score"), doc, "old_table", "new_table")
+    done = stored(done.unionByName(fuzzy.select(*doc, "old_table", "new_table", "score", F.when(F.col("crosses"), "ambiguous_order_conflict").otherwise("similar").alias("basis"))), "paired")
     none = F.lit(None)
     only_a = a.join(done, [*doc, "old_table"], "left_anti").select(*doc, "old_table", none.cast(b.schema["new_table"].dataType).alias("new_table"), none.cast("double").alias("score"), F.lit("only_old").alias("basis"))
     only_b = b.join(done, [*doc, "new_table"], "left_anti").select(*doc, none.cast(a.schema["old_table"].dataType).alias("old_table"), "new_table", none.cast("double").alias("score"), F.lit("only_new").alias("basis"))
