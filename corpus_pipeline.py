@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints."""
+    """One document of each component of texts with five-word similarity 0.8 or more, or fingerprints within 4 bits."""
     ship(spark)
     return drop_near_duplicates(docs)
 

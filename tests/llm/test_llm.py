@@ -133,6 +133,35 @@ def test_near_duplicates(spark, odd, empty):
     assert simhash.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_by_similarity(spark):
+    """The stage's own rule against all pairs: five words, Jaccard 0.8; op9's four bits find few of them."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(400)]
+    boilerplate = " ".join(r.choices(vocabulary, k=30))
+    rows = []
+    for k in range(30):
+        body = r.choices(vocabulary, k=r.randint(40, 200))
+        for edits in (0, 1, 2, 3, 5):
+            other = list(body)
+            for at in r.sample(range(len(other)), edits):
+                other[at] = r.choice(vocabulary)
+            rows.append((len(rows), " ".join(other) + (" " + boilerplate if k % 2 else "")))
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    alike = [[j for j in range(len(rows)) if len(a & sets[j]) / len(a | sets[j]) >= 0.8] for a in sets]
+    near = [[j for j in range(len(rows)) if (a ^ fps[j]).bit_count() <= 4] for a in fps]
+    label = list(range(len(rows)))
+    while (now := [min(label[j] for j in {*alike[i], *near[i]}) for i in range(len(rows))]) != label:
+        label = now
+    docs = documents(spark, rows)
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == set(label)
+    assert len(kept) < simhash.drop_near_duplicates(docs, words=4, similarity=None).count()
+
+
 def test_components_of_a_path(spark):
     n = 200
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
