@@ -50,6 +50,39 @@ def is_held_out(doc_id: Column, modulus: int, residue: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == residue, F.lit(False))
 
 
+def text_keys(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text, null as empty, that together tell texts apart."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, case aside."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keep_listed(docs: DataFrame, listed: DataFrame, keys: list[Column]) -> DataFrame:
+    """Rows of docs that ``listed`` names, one for each of its rows; all columns as they were.
+
+    listed: columns key (an array of strings), in the order of ``keys``, and copies, how many rows of docs have it. A null
+    key matches a null. Of rows that have all keys alike one stays, whichever; only keys with copies are sorted out.
+    """
+    key, mark = fresh(docs, "_key", "_copies")
+    listed = listed.select(F.to_json(F.struct("key")).alias(key), F.col("copies").alias(mark))
+    named = docs.withColumn(key, F.to_json(F.struct(F.array(*[k.cast("string") for k in keys]).alias("key"))))
+    kept = named.join(listed, key)
+    single = kept.filter(F.col(mark) == 1).drop(key, mark)
+    repeated = kept.filter(F.col(mark) > 1).dropDuplicates([key]).drop(key, mark)
+    return single.unionByName(repeated)
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: one scan of one column, summed in the JVM."""
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

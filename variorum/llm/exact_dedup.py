@@ -3,15 +3,15 @@
 A Misra-Gries style summary (Spark's ``approx_top_k``, a frequent-items sketch of bounded size) finds the digests
 that may be frequent. An exact aggregate verifies them and picks their winners; that table is bounded by the
 sketch's k and is broadcast, so rows of a frequent digest are settled where they are read. Any digest left has
-at most a small share of the rows, and an ordinary shuffle settles it. Only built-in functions run.
+at most a small share of the rows, and an ordinary aggregate and join settle it. Only built-in functions run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import BLANKS, documents, materialize
+from variorum.llm._shared import BLANKS, documents, keep_listed, materialize
 
 #: Digests that the summary reports, and counters it holds while it counts. Each row count above rows/COUNTERS is found.
 FREQUENT, COUNTERS = 1024, 8192
@@ -27,18 +27,19 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def winners(digests: DataFrame) -> DataFrame:
+    """(text_sha256, keep_id, _keep_row, group_size): a row for each digest, combined before it is shuffled."""
+    # ~x falls as x rises and can't overflow; a null id is the least, so it comes last
+    best = F.max(F.struct("_points", F.bitwise_not("doc_id").alias("_id"), F.bitwise_not("_row").alias("_place")))
+    found = digests.groupBy("text_sha256").agg(best.alias("w"), F.count(F.lit(1)).alias("group_size"))
+    return found.select("text_sha256", F.bitwise_not("w._id").alias("keep_id"), F.bitwise_not("w._place").alias("_keep_row"), "group_size")
+
+
 def frequent_digests(digests: DataFrame, frequent: int = FREQUENT, counters: int = COUNTERS) -> DataFrame:
-    """At most ``frequent`` rows: text_sha256, keep_id, _keep_row, group_size, all exact."""
+    """At most ``frequent`` rows of ``winners``, all exact."""
     top = digests.agg(F.expr(f"approx_top_k(text_sha256, {frequent}, {counters})").alias("top"))
     candidates = top.select(F.explode("top.item").alias("text_sha256"))
-    winner = F.max(F.struct("_points", (-F.col("doc_id")).alias("_neg"), (-F.col("_row")).alias("_neg_row")))
-    return (
-        digests.join(F.broadcast(candidates), "text_sha256")
-        .groupBy("text_sha256")
-        .agg(winner.alias("w"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
-        .select("text_sha256", (-F.col("w._neg")).alias("keep_id"), (-F.col("w._neg_row")).alias("_keep_row"), "group_size")
-    )
+    return winners(digests.join(F.broadcast(candidates), "text_sha256")).filter("group_size > 1")
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, counters: int = COUNTERS) -> DataFrame:
@@ -50,31 +51,26 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     digests = materialize(digest_table(docs, id_col, text_col), "digests")
     heavy = materialize(frequent_digests(digests, frequent, counters), "frequent")
-    settled = digests.join(F.broadcast(heavy), "text_sha256").withColumn("kept", F.col("_row") == F.col("_keep_row"))
-    group = Window.partitionBy("text_sha256")
-    order = group.orderBy(F.desc("_points"), F.asc_nulls_last("doc_id"), "_row")
-    rest = (
-        digests.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("kept", F.row_number().over(order) == 1)
-        .withColumn("keep_id", F.first("doc_id").over(order))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
-    columns = ("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
-    return settled.select(*columns).unionByName(rest.select(*columns))
+    settled = digests.join(F.broadcast(heavy), "text_sha256")
+    rest = digests.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
+    both = settled.unionByName(rest.join(winners(rest), "text_sha256"))
+    return both.select("doc_id", "keep_id", F.col("group_size").cast("long"), (F.col("_row") == F.col("_keep_row")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that ``exact_duplicates`` drops, all columns as they were."""
+    """docs without the rows that ``exact_duplicates`` drops, all columns as they were.
+
+    Of rows alike in id and text, null ids included, one stays where their group's choice falls on them. Null texts are
+    empty texts, so they and blank ones are one group. An empty table stays empty; no column name is taken.
+    """
     marked = materialize(exact_duplicates(docs), "marked")
-    winners = marked.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    again = marked.filter("not kept and doc_id <=> keep_id").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, "").cast("binary")
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.sha2(text, 256) == F.col("_kept_digest"))
-    kept = docs.join(winners, same, "left_semi")
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, same, "left_semi").withColumn("_kept_digest", F.sha2(text, 256))
-    return kept.join(again, same, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "_kept_digest"]).drop("_kept_digest"))
+    same = F.col("not_kept_too") + 1
+    again = marked.filter("not kept and doc_id <=> keep_id").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("not_kept_too"))
+    again = again.withColumnsRenamed({"doc_id": "_id", "text_sha256": "_digest"})
+    listed = marked.filter("kept").join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_digest")), "left")
+    listed = listed.select(F.array(F.col("doc_id").cast("string"), "text_sha256").alias("key"), F.coalesce(same, F.lit(1)).alias("copies"))
+    text = F.regexp_replace(F.coalesce(docs["text"], F.lit("")), BLANKS, "").cast("binary")
+    return keep_listed(docs, listed, [docs["doc_id"], F.sha2(text, 256)])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,10 @@ from variorum.llm._shared import documents, hash_sample, is_held_out, slices
 CHUNK, STEP, STRIDE = 256, 192, 4
 #: Numbers for a byte, filters, hidden units.
 WIDTH, FILTERS, HIDDEN = 8, 32, 24
-#: The bounded sample: labelled rows of each label at most, bytes of a text in it at most.
-SAMPLE, LONGEST_SAMPLE = 1500, 32_768
-EPOCHS, BATCH, RATE, SEED = 12, 32, 4e-3, 20
+#: The bounded sample: labelled rows of each label at most, characters of a text in it at most, parts that a longer text gives.
+SAMPLE, LONGEST_SAMPLE, PARTS = 1500, 32_768, 16
+#: Rounds over the sample, texts of a step, chunks that a text gives to a step at most (drawn anew each time).
+EPOCHS, BATCH, DRAWN, RATE, SEED = 8, 32, 32, 4e-3, 20
 THRESHOLD = 0.7
 #: Labels of this remainder of the id's crc32 are never learned from.
 MODULUS, HELD_OUT = 4, 2
@@ -140,6 +141,7 @@ class Network:
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
                 rows = [chunks(texts[i]) for i in pick]
+                rows = [x if len(x) <= DRAWN else x[np.sort(r.choice(len(x), DRAWN, replace=False))] for x in rows]
                 first = np.cumsum([0, *map(len, rows[:-1])])
                 g = self.gradients(np.concatenate(rows), first, label[pick], weight[pick])
                 step += 1
@@ -162,17 +164,23 @@ class Constant:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int = SAMPLE, longest: int = LONGEST_SAMPLE) -> list[tuple[str, int]]:
-    """(text, label) of at most ``most`` rows of either label, the first in the order of a hash of their ids. Neither held-out
-    rows nor null labels nor texts of more than ``longest`` bytes are taken. Bounded by 2 * most * longest bytes."""
+    """(text, label) of at most ``most`` ids of either label, the first in the order of a hash of the ids.
+
+    Neither held-out ids nor null labels are taken, nor ids that have both labels. Where rows share an id, one of their
+    texts is taken, that of the least hash. A text of more than ``longest`` characters gives ``PARTS`` parts of it, evenly
+    spread. So at most 2 * most rows of longest characters come to the driver, whatever the tables hold.
+    """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter(~is_held_out(F.col("_id"), modulus, held_out) & F.col("_label").isin(0, 1))
-    known = known.dropDuplicates(["_id"])
-    text = F.coalesce("text", F.lit(""))
-    sized = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).filter(F.octet_length("_text") <= longest)
+    known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).filter("_id is not null and _label = _other").drop("_other")
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     picked = [r for y in (1, 0) for r in hash_sample(known.filter(F.col("_label") == y), ["_id"], sizes.get(y, 0), most)]
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in picked], known.schema)
-    rows = sized.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").collect()
-    return [(r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))]
+    text, part = F.coalesce("text", F.lit("")), longest // PARTS
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring("_text", (k * (F.char_length("_text") - part) / (PARTS - 1)).cast("int") + 1, F.lit(part))), "")
+    found = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id")
+    found = found.select("_id", "_label", F.struct(F.xxhash64("_text").alias("h"), F.when(F.char_length("_text") > longest, spread).otherwise(F.col("_text")).alias("text")).alias("_one"))
+    rows = found.groupBy("_id").agg(F.min("_label").alias("_label"), F.min("_one").alias("_one")).collect()
+    return [(r["_one"]["text"], r["_label"]) for r in sorted(rows, key=lambda r: r["_id"])]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | Constant:
@@ -202,15 +210,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs.
 
     A null text scores as the empty text, which is one chunk of zeros; very long texts are scored whole. A null id isn't
-    held out. Repeated rows score alike; an empty table gives an empty result; without labels of both kinds every
-    document scores the share of label 1. Other columns of docs are not read.
+    held out. Repeated rows score alike; an id with both labels isn't learned from; an empty table gives an empty result;
+    without labels of both kinds every document scores the share of label 1. Other columns of docs are not read.
     """
     return score_texts(docs, train(docs, labels), MODULUS, HELD_OUT)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score below THRESHOLD; all columns as they were, and nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, labels)))
+    """docs without the rows that score below THRESHOLD; all columns as they were, and nothing is shuffled.
+
+    A null text scores as the empty text; rows with null or repeated ids are each judged by their text, so equal texts go or stay
+    together. An empty table gives an empty result. Without both labels nothing can be told and all rows stay.
+    """
+    model = train(docs, labels)
+    if isinstance(model, Constant):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)

@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from a bounded sample of labelled rows: one trained on ordinary text, and one that
-holds the same content after the spans (words and beginnings of words) that mark toxic text. A window compresses
-shorter with the second dictionary only where one of those spans helps, so the difference of the two compressed lengths
-is the window's evidence. A window is one word between blanks (a longer word has several, which overlap), followed by a
-fixed carrier text, since zstandard leaves the last bytes of its input unmatched and stores what it can't shorten. In
-windows of several words chance matches of ordinary words hide what a toxic word saves, which is a few bytes. A document's counts of windows at or above each of a few thresholds are calibrated to a probability by
-logistic regression on sample rows that took no part in making the dictionaries.
+Two zstandard dictionaries are trained from a bounded sample of labelled rows: one on windows of ordinary text, one on
+windows of toxic text. A window is one word between blanks (a longer word has several, which overlap), followed by a
+fixed carrier text that both dictionaries hold, since zstandard leaves the last bytes of its input unmatched. A window's
+evidence is the length it compresses to with the ordinary dictionary less that with the toxic one; most are below zero.
+
+A toxic text is mostly ordinary words, and a dictionary trained on all of it holds what the ordinary one holds. So the
+toxic dictionary's training windows are those of toxic sample texts whose word is tied to them by a likelihood-ratio
+test (``EVIDENCE``); what the dictionary then holds, and how long a window gets, is zstandard's doing. A document's counts
+of windows at or above each of the thresholds are calibrated to a probability by logistic regression on sample rows
+that took no part in making the dictionaries.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from variorum.llm.quality import Constant, labelled_sample, score_texts
 MODULUS, HELD_OUT = 3, 1
 #: The bounded sample: labelled rows of each label at most.
 SAMPLE = 2500
-#: Bytes of the ordinary dictionary's content, spans at most, bytes of a window and of its step where a word is longer.
-ORDINARY, SPANS, WINDOW, STEP = 15_000, 256, 64, 32
-#: Lengths of a beginning of a word, bytes at their start in which no two spans agree; how much more frequent in toxic texts a span is, and by how many standard errors.
-SHORTEST, LONGEST_START, STEM, RATIO, ERRORS = 4, 9, 5, 8.0, 6.0
-LEVEL, THRESHOLDS, MEMO = 6, 8, 400_000
+#: Bytes of the ordinary and the toxic dictionary's content, bytes of the carrier, of a window, and of its step where a word is longer.
+ORDINARY, TOXIC, CARRIER, WINDOW, STEP = 15_000, 1024, 48, 64, 32
+#: The least likelihood ratio of a toxic training window's word, the trainer's lengths of a segment and of its parts.
+EVIDENCE, SEGMENT, PART = 25.0, 16, 6
+#: Compression level; differences in length that are counted; words whose difference is remembered.
+LEVEL, GAINS, MEMO = 6, range(-2, 10), 400_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -41,41 +45,39 @@ def words(text: str) -> list[bytes]:
     return _WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
 
 
-def _spans_of(text: str) -> set[bytes]:
-    out = set()
-    for w in set(words(text)):
-        out.add(w + b" ")
-        out.update(w[:k] for k in range(SHORTEST, min(len(w), LONGEST_START + 1)))
-    return out
-
-
-def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Spans that are in far more toxic texts than ordinary ones; of spans that begin alike, the one that tells most."""
-    in_toxic: Counter[bytes] = Counter()
-    in_ordinary: Counter[bytes] = Counter()
-    for t in toxic:
-        in_toxic.update(_spans_of(t))
-    for t in ordinary:
-        in_ordinary.update(_spans_of(t))
-    n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
-    told = []
-    for span, a in in_toxic.items():
-        b = in_ordinary[span] + 0.5
-        if a < max(3, 0.02 * n1) or a / n1 < RATIO * b / n0:
-            continue
-        share = (a + b) / (n1 + n0)
-        errors = (a / n1 - b / n0) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) if share < 1 else math.inf
-        if errors > ERRORS:
-            told.append((-round(errors, 6), -len(span), span))
-    picked: list[bytes] = []
-    for _, _, span in sorted(told):
-        if len(picked) < SPANS and not any(span[:STEM] == p[:STEM] or span.startswith(p) or p.startswith(span) for p in picked):
-            picked.append(span)
-    return picked
+def likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
+    """Twice the log-likelihood that a of n and b of m texts hold a word gains by two shares in place of one; half a text added."""
+    share = (a + b + 1) / (n + m + 2)
+    return 2 * ((a + 0.5) * math.log((a + 0.5) / (n + 1) / share) + (b + 0.5) * math.log((b + 0.5) / (m + 1) / share))
+
+
+def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Windows of toxic texts whose word is tied to them; where no word is, those whose word no ordinary text has."""
+    split = [words(t) for t in toxic]
+    in_toxic = Counter(w for t in split for w in set(t))
+    in_ordinary = Counter(w for t in ordinary for w in set(words(t)))
+    n, m = len(toxic), len(ordinary)
+    tied = {w for w, a in in_toxic.items() if a / max(1, n) > in_ordinary[w] / max(1, m) and likelihood_ratio(a, n, in_ordinary[w], m) >= EVIDENCE}
+    tied = tied or {w for w in in_toxic if not in_ordinary[w]}
+    return [window for t in split for w in t if w in tied for window in windows(w)]
+
+
+def windows(word: bytes) -> list[bytes]:
+    text = b" " + word + b" "
+    return [text[at : at + WINDOW] for at in range(0, max(1, len(text) - STEP), STEP)]
+
+
+def trained(samples: list[bytes], size: int, **how: int) -> bytes:
+    """The content of a dictionary that zstandard trains on samples; the distinct samples where they are too few to train on."""
+    try:
+        raw = zstandard.train_dictionary(size + 2048, samples, **how).as_bytes()
+    except zstandard.ZstdError:
+        raw = b"".join(dict.fromkeys(samples)) * 2
+    return raw[-min(size, len(raw) * 2 // 3) :] if raw else b""
 
 
 class _Gains(dict):
-    """Word to gain, 0 to THRESHOLDS."""
+    """Word to the largest difference of its windows, as its place among GAINS from 1; 0 below all."""
 
     def __init__(self, model: Toxicity) -> None:
         super().__init__()
@@ -89,10 +91,9 @@ class _Gains(dict):
 
 
 class Toxicity:
-    def __init__(self, spans: list[bytes], ordinary: bytes) -> None:
-        self.content = ordinary
-        self.spans = b" " + b"".join(s if s.endswith(b" ") else s + b" " for s in reversed(spans)) if spans else b""
-        self.weights = np.zeros(THRESHOLDS + 2)
+    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
+        self.ordinary, self.toxic, self.carrier = ordinary, toxic, ordinary[-CARRIER:]
+        self.weights = np.zeros(len(GAINS) + 2)
         self._made: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -103,40 +104,38 @@ class Toxicity:
             kw = {"window_log": 18, "write_content_size": False, "write_checksum": False, "write_dict_id": False, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
             params = zstandard.ZstdCompressionParameters.from_level(LEVEL, **kw)
             made = []
-            for content in (self.content, self.spans + self.content):
+            for content in (self.ordinary, self.toxic + self.carrier):
                 dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 dictionary.precompute_compress(compression_params=params)
                 made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress)
-            self._made = (*made, self.content[-48:], _Gains(self))
+            self._made = (*made, _Gains(self))
         return self._made
 
+    def difference(self, word: bytes) -> int:
+        """By how many bytes the toxic dictionary compresses the word's windows shorter than the ordinary one, at most."""
+        ordinary, toxic, _ = self._compressors()
+        return max(len(ordinary(w + self.carrier)) - len(toxic(w + self.carrier)) for w in windows(word))
+
     def gain(self, word: bytes) -> int:
-        """By how many bytes the toxic dictionary shortens the word's windows more, at most."""
-        ordinary, toxic, carrier, _ = self._compressors()
-        text = b" " + word + b" "
-        best = 0
-        for at in range(0, max(1, len(text) - STEP), STEP):
-            window = text[at : at + WINDOW] + carrier
-            best = max(best, len(ordinary(window)) - len(toxic(window)))
-        return min(best, THRESHOLDS)
+        return min(max(self.difference(word) - GAINS.start + 1, 0), len(GAINS))
 
     def features(self, batch: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(batch), THRESHOLDS + 2))
+        out = np.zeros((len(batch), len(GAINS) + 2))
         out[:, 0] = 1
-        look = self._compressors()[3].__getitem__ if self.spans and self.content else None
+        look = self._compressors()[2].__getitem__ if self.toxic and self.ordinary else None
         for row, raw in zip(out, batch):
-            found = _WORD.findall(raw.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass"))
+            found = words(raw.decode("utf-8", "surrogatepass"))
             row[1] = math.log1p(len(found))
             if look:
                 gains = bytes(map(look, found))
-                counts = [gains.count(k) for k in range(1, THRESHOLDS + 1)]
+                counts = [gains.count(k) for k in range(1, len(GAINS) + 1)]
                 row[2:] = np.log1p(np.cumsum(counts[::-1])[::-1])
         return out
 
     def calibrate(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray, rounds: int = 60) -> Toxicity:
         """Ridge logistic regression by Newton's method."""
         x, y = self.features(texts), np.asarray(labels, np.float64)
-        ridge = np.diag([1e-4, 0.1, *[0.1] * THRESHOLDS])
+        ridge = np.diag([1e-4, 0.1, *[0.1] * len(GAINS)])
         w = np.zeros(x.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -151,32 +150,27 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(self.features(batch) @ self.weights, -30, 30)))
 
 
-def ordinary_content(texts: list[str], size: int = ORDINARY, seed: int = 3) -> bytes:
-    """The content of a dictionary trained on windows of ordinary text; the windows themselves where they are too few to train on."""
-    windows = []
+def ordinary_windows(texts: list[str], most: int = 30_000, seed: int = 3) -> list[bytes]:
+    """Runs of ordinary words, ``most`` of them in a seeded order."""
+    found = []
     for t in texts:
         raw = b" " + b" ".join(words(t)) + b" "
-        windows += [raw[k : k + 64] for k in range(0, len(raw), 64)]
-    order = np.random.default_rng(seed).permutation(len(windows))[:30_000]
-    windows = [windows[k] for k in order]
-    try:
-        trained = zstandard.train_dictionary(size + 2048, windows).as_bytes()
-    except zstandard.ZstdError:
-        trained = b"".join(windows)
-    return trained[-min(size, len(trained) // 2) :]
+        found += [raw[k : k + WINDOW] for k in range(0, len(raw), WINDOW)]
+    return [found[k] for k in np.random.default_rng(seed).permutation(len(found))[:most]]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Toxicity | Constant:
     rows = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, SAMPLE)
     rows = sorted(dict(rows).items())  # each text once
-    known = labels.filter(~is_held_out(F.col("doc_id"), MODULUS, HELD_OUT)).groupBy("toxic").count().collect()
+    known = labels.filter(~is_held_out(F.col("doc_id"), MODULUS, HELD_OUT) & F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()
     total = {r["toxic"]: r["count"] for r in known}
     ones = sum(y for _, y in rows)
     if not 0 < ones < len(rows):
         return Constant(total.get(1, 0), total.get(0, 0))
     part = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 for t, _ in rows]
     fit = [r for r, k in zip(rows, part) if k < 3]
-    model = Toxicity(toxic_spans([t for t, y in fit if y], [t for t, y in fit if not y]), ordinary_content([t for t, y in fit if not y]))
+    toxic, ordinary = [t for t, y in fit if y], [t for t, y in fit if not y]
+    model = Toxicity(trained(toxic_windows(toxic, ordinary), TOXIC, k=SEGMENT, d=PART), trained(ordinary_windows(ordinary), ORDINARY))
     rest = [r for r, k in zip(rows, part) if k >= 3] or rows
     y = np.array([y for _, y in rest])
     weight = np.where(y == 1, total.get(1, 1) / max(1, ones), total.get(0, 1) / max(1, len(rows) - ones))
