@@ -42,6 +42,14 @@ def frequent_digests(digests: DataFrame, frequent: int = FREQUENT, counters: int
     return winners(digests.join(F.broadcast(candidates), "text_sha256")).filter("group_size > 1")
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, frequent: int, counters: int) -> DataFrame:
+    digests = materialize(digest_table(docs, id_col, text_col), "digests")
+    heavy = materialize(frequent_digests(digests, frequent, counters), "frequent")
+    settled = digests.join(F.broadcast(heavy), "text_sha256")
+    rest = digests.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
+    return settled.unionByName(rest.join(winners(rest), "text_sha256")).withColumn("kept", F.col("_row") == F.col("_keep_row"))
+
+
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, counters: int = COUNTERS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -49,28 +57,22 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     The row with most code points in its original text stays, then the smallest doc_id (a null id comes last); of rows
     that tie in both, one stays. Empty tables give an empty result. Other columns of docs are not read.
     """
-    digests = materialize(digest_table(docs, id_col, text_col), "digests")
-    heavy = materialize(frequent_digests(digests, frequent, counters), "frequent")
-    settled = digests.join(F.broadcast(heavy), "text_sha256")
-    rest = digests.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    both = settled.unionByName(rest.join(winners(rest), "text_sha256"))
-    return both.select("doc_id", "keep_id", F.col("group_size").cast("long"), (F.col("_row") == F.col("_keep_row")).alias("kept"), "text_sha256")
+    return _marked(docs, id_col, text_col, frequent, counters).select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that ``exact_duplicates`` drops, all columns as they were.
 
-    Of rows alike in id and text, null ids included, one stays where their group's choice falls on them. Null texts are
-    empty texts, so they and blank ones are one group. An empty table stays empty; no column name is taken.
+    Of rows alike in id, text and length, null ids included, one stays where their group's choice falls on them. Null texts
+    are empty texts, so they and blank ones are one group. An empty table stays empty; no column name is taken.
     """
-    marked = materialize(exact_duplicates(docs), "marked")
-    same = F.col("not_kept_too") + 1
-    again = marked.filter("not kept and doc_id <=> keep_id").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("not_kept_too"))
-    again = again.withColumnsRenamed({"doc_id": "_id", "text_sha256": "_digest"})
-    listed = marked.filter("kept").join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_digest")), "left")
-    listed = listed.select(F.array(F.col("doc_id").cast("string"), "text_sha256").alias("key"), F.coalesce(same, F.lit(1)).alias("copies"))
-    text = F.regexp_replace(F.coalesce(docs["text"], F.lit("")), BLANKS, "").cast("binary")
-    return keep_listed(docs, listed, [docs["doc_id"], F.sha2(text, 256)])
+    marked = materialize(_marked(docs, "doc_id", "text", FREQUENT, COUNTERS), "marked")
+    key = F.array(F.col("doc_id").cast("string"), "text_sha256", F.col("_points").cast("string"))
+    # only rows that tie with the kept one in all three can be taken for it
+    tied = marked.filter("doc_id <=> keep_id").groupBy("doc_id", "text_sha256", "_points").agg(F.count(F.lit(1)).alias("copies"), F.max("kept").alias("kept"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    digest = F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)
+    return keep_listed(docs, tied.filter("kept").select(key.alias("key"), "copies"), [docs["doc_id"], digest, F.char_length(text)])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
