@@ -16,14 +16,13 @@ a group of near copies is.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variorum.llm._shared import documents, join_unique, materialize, slices
@@ -32,11 +31,8 @@ from variorum.llm.components import components
 SHINGLE_WORDS, RADIUS, SEED = 4, 2, 42
 #: The pipeline stage's own rule: shingles of five words, Jaccard similarity 0.8.
 STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
-#: Texts that frequent shingles are looked for in, texts of them that make one frequent, and frequent ones at most.
-SAMPLE, FREQUENT, FREQUENT_SHINGLES = 2000, 4, 100_000
-#: Variants that one prefix holds on average, at most: bounds a task's memory.
-VARIANTS_PER_PREFIX = 1 << 21
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Variants that one prefix holds on average, and that a task writes out at once, at most: bound a task's memory.
+VARIANTS_PER_PREFIX, AT_ONCE = 1 << 21, 1 << 23
 _BLOCK = 1 << 15
 
 
@@ -117,11 +113,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def meet(fps: np.ndarray, left: np.ndarray, bits: int, radius: int = RADIUS) -> np.ndarray:
-    """Write out each fingerprint's variants in one prefix, those with at most ``left`` flips in the lowest 64 - bits
-    bits, and return the root index of each fingerprint among those that it meets, each link checked."""
-    tails = 64 - bits
-    mask = np.uint64((1 << tails) - 1) if bits else np.uint64(0xFFFFFFFFFFFFFFFF)
+def _pairs(fps: np.ndarray, left: np.ndarray, tails: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of two fingerprints for each link found among variants with at most ``left`` flips in the lowest ``tails`` bits."""
+    mask = np.uint64((1 << tails) - 1) if tails < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
     keys, owner = [], []
     for k in range(radius + 1):
         who = np.flatnonzero(left == k)
@@ -135,139 +129,109 @@ def meet(fps: np.ndarray, left: np.ndarray, bits: int, radius: int = RADIUS) ->
     same = key[1:] == key[:-1]
     a, b = own[1:][same].astype(np.int64), own[:-1][same].astype(np.int64)
     if not len(a):
-        return np.arange(len(fps))
+        return a, b
     pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
     a, b = pair // len(fps), pair % len(fps)
     near = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * radius
-    return _forest(len(fps), a[near], b[near])
+    return a[near], b[near]
 
 
-def ball_links(fps: DataFrame, n: int, *, per_prefix: int = VARIANTS_PER_PREFIX, radius: int = RADIUS) -> DataFrame:
-    """fps: distinct (fp, rep). Links (a, b) between reps whose closure is that of all pairs within 2 * radius bits."""
-    bits = prefix_bits(n, per_prefix, radius)
-    # each prefix within radius flips, with the flips that are left for the tail
-    routes = [(radius - k, sum(1 << (64 - bits + i) for i in c)) for k in range(min(radius, bits) + 1) for c in combinations(range(bits), k)]
-    signed = [(left, m - (1 << 64) if m >= 1 << 63 else m) for left, m in routes]
-    table = F.array(*[F.struct(F.lit(left).alias("left"), F.lit(m).cast("long").alias("mask")) for left, m in signed])
-    head = F.lit(0).cast("long") if not bits else F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("r.mask")), 64 - bits)
-    dealt = fps.select("fp", "rep", F.explode(table).alias("r")).select("rep", "fp", F.col("r.left").cast("int").alias("left"), head.cast("long").alias("prefix"))
+def _written(left: np.ndarray, tails: int, radius: int) -> int:
+    """How many variants fingerprints with these flips left have."""
+    size = [sum(math.comb(tails, j) for j in range(k + 1)) for k in range(radius + 1)]
+    return int((np.bincount(left, minlength=radius + 1) * size).sum())
 
-    def link(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        rep = table.column("rep").to_numpy()
-        root = meet(fp, table.column("left").to_numpy(), bits, radius)
-        moved = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.table({"a": rep[moved], "b": rep[root[moved]]})
 
-    return dealt.groupBy("prefix").applyInArrow(link, "a long, b long")
+def meet(fps: np.ndarray, left: np.ndarray, bits: int, radius: int = RADIUS, at_once: int = AT_ONCE) -> np.ndarray:
+    """Write out each fingerprint's variants in one prefix, those with at most ``left`` flips in the lowest 64 - bits
+    bits, and return the root index of each fingerprint among those that it meets, each link checked.
 
+    Where the variants are more than ``at_once``, they are written out by one further bit at a time: all whose next
+    bit is 0, then all whose next bit is 1, and so on below.
+    """
+    who = np.arange(len(fps))
+    todo, found = [(who, left, 64 - bits)], []
+    while todo:
+        who, flips, tails = todo.pop()
+        if tails > 8 and _written(flips, tails, radius) > at_once:
+            bit = fps[who] >> np.uint64(tails - 1) & np.uint64(1)
+            for value in (0, 1):
+                rest = flips - (bit != value)
+                some = rest >= 0
+                todo.append((who[some], rest[some], tails - 1))
+        elif len(who) > 1:
+            a, b = _pairs(fps[who], flips, tails, radius)
+            found.append((who[a], who[b]))
+    if not found:
+        return np.arange(len(fps))
+    return _forest(len(fps), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
 
-def frequent_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of shingles that several of about SAMPLE texts have: only an order is made of them."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    bound = int(share * (1 << 64)) - (1 << 63) - 1
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                for block in shingle_hashes(text, words):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(block).view(np.int64))], names=["h"])
-
-    found = texts.filter(F.col("k") <= F.lit(bound)).dropDuplicates(["k"]).mapInArrow(compute, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    top = found.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_SHINGLES).collect()
-    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+def _routes(bits: int, below: int, radius: int) -> Column:
+    """Each way to flip at most radius of ``bits`` bits that stand above the lowest ``below``: how many, and their mask."""
+    made = []
+    for k in range(min(radius, bits) + 1):
+        for c in combinations(range(bits), k):
+            m = sum(1 << (below + i) for i in c)
+            made.append(F.struct(F.lit(k).alias("used"), F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long").alias("mask")))
+    return F.array(*made)
 
 
-def shingle_sets(texts: DataFrame, words: int, similarity: float | None, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, fp, k, n, hashes) of rows (doc_id, k, text): n distinct shingles, and of their hashes, those of frequent
-    shingles last, as many as two sets of this similarity can't but share one of; all of them where it is None."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+def ball_links(fps: DataFrame, n: int, *, per_prefix: int = VARIANTS_PER_PREFIX, radius: int = RADIUS, further: int = 6) -> DataFrame:
+    """fps: distinct fp. Links (a, b) between fingerprints whose closure is that of all pairs within 2 * radius bits.
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
-        for batch in slices(batches, "text"):
-            fps, sizes, taken = [], [], []
-            for text in batch.column("text").to_pylist():
-                blocks = list(shingle_hashes(text, words))
-                fps.append(_majority(blocks))
-                found = np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
-                n = len(found)
-                sizes.append(n)
-                if similarity is not None and n:
-                    is_late = np.isin(found, late)
-                    found = np.concatenate((found[~is_late], found[is_late]))[: n - math.ceil(similarity * n - 1e-9) + 1]
-                taken.append(found.view(np.int64))
-            offsets = np.cumsum([0, *map(len, taken)])
-            hashes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(taken)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column("k"), pa.array(sizes, pa.int64()), hashes], schema=schema)
-
-    return texts.select("doc_id", "k", "text").mapInArrow(compute, "doc_id long, fp long, k long, n long, hashes array<long>")
-
-
-def similar_links(sets: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between roots of sets (k, n, hashes, root) for every two texts of different roots whose sets of
-    shingles have at least this Jaccard similarity. Such two share one of the hashes that are kept of each (prefix
-    filter), so no pair is left out; each that meets and that a bound from those doesn't rule out is counted in full. What has one root already never meets."""
-    dealt = sets.select("k", "n", "root", F.posexplode("hashes").alias("at", "h"))
-    active = dealt.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    live = materialize(dealt.join(active, "h", "left_semi").distinct(), "shingles")
-    a = live.select("h", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("root").alias("a"), (F.col("n") - F.col("at") - 1).alias("after_a"))
-    b = live.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("root").alias("b"), (F.col("n") - F.col("at") - 1).alias("after_b"))
-    long_enough = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)
-    met = a.join(b, "h").filter((F.col("a") < F.col("b")) & long_enough).groupBy("ka", "a", "na", "kb", "b", "nb").agg(F.count(F.lit(1)).alias("c"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"))
-    # what can still be shared: nothing more within the prefix that ends first, and only what comes after the last one shared
-    rest = lambda n: F.ceil(F.col(n) * F.lit(similarity) - F.lit(1e-9)) - 1
-    most = F.col("c") + F.least(F.greatest(rest("na"), rest("nb")), "after_a", "after_b")
-    enough = most >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
-    pairs = materialize(met.filter(enough).select("ka", "a", "kb", "b"), "pairs")
-    keys = pairs.select(F.col("ka").alias("k")).unionByName(pairs.select(F.col("kb").alias("k"))).distinct()
-    one = texts.join(keys, "k", "left_semi").dropDuplicates(["k"])
-    whole = materialize(shingle_sets(one, words, None, np.empty(0, np.uint64)).select("k", "n", "hashes"), "sets")
-    both = pairs.join(whole.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("hashes").alias("ha")), "ka").join(whole.select(F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("hashes").alias("hb")), "kb")
-    common = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
-    return common.filter(F.col("o") / (F.col("na") + F.col("nb") - F.col("o")) >= similarity).select("a", "b").distinct()
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_prefix: int = VARIANTS_PER_PREFIX, words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    A prefix that more than eight times ``per_prefix`` variants fall to is dealt once more, by ``further`` bits. What is
+    still many then, because the fingerprints themselves crowd there, its task writes out in parts (``meet``).
+    """
+    bits = prefix_bits(n, per_prefix, radius)
+    cut = lambda below: F.lit(0).cast("long") if below >= 64 else F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("r.mask")), below)
+    dealt = fps.select("fp", F.explode(_routes(bits, 64 - bits, radius)).alias("r")).select("fp", (F.lit(radius) - F.col("r.used")).cast("int").alias("left"), cut(64 - bits).alias("prefix"))
+    sizes = F.element_at(F.array(*[F.lit(sum(math.comb(64 - bits, j) for j in range(k + 1))) for k in range(radius + 1)]), F.col("left") + 1)
+    crowded = materialize(dealt.groupBy("prefix").agg(F.sum(sizes).alias("size")).filter(F.col("size") > 8 * per_prefix).select("prefix"), "crowded")
+
+    def link(bits: int):
+        def run(table: pa.Table) -> pa.Table:
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            root = meet(fp, table.column("left").to_numpy().astype(np.int64), bits, radius)
+            moved = np.flatnonzero(root != np.arange(len(fp)))
+            return pa.table({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
+
+        return run
+
+    if crowded.isEmpty():
+        return dealt.groupBy("prefix").applyInArrow(link(bits), "a long, b long")
+    calm = dealt.join(crowded, "prefix", "left_anti").groupBy("prefix").applyInArrow(link(bits), "a long, b long")
+    below = 64 - bits - further
+    again = dealt.join(crowded, "prefix", "left_semi").withColumn("r", F.explode(_routes(further, below, radius))).filter("r.used <= left")
+    tail = F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("r.mask")), below).bitwiseAND(F.lit((1 << further) - 1))
+    again = again.select("fp", (F.col("left") - F.col("r.used")).cast("int").alias("left"), "prefix", tail.alias("tail"))
+    return calm.unionByName(again.groupBy("prefix", "tail").applyInArrow(link(bits + further), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_prefix: int = VARIANTS_PER_PREFIX, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
     Texts are lower-cased in A-Z, cut into words at blank and tab to carriage return, and into shingles of ``words``
     words (fewer words: one shingle of all). A null or empty text has fingerprint zero, which links like any other.
-    Fingerprints within 2 * radius bits are linked, and with a ``similarity`` also all texts whose sets of shingles have
-    that Jaccard similarity or more, which fingerprints alone miss; component_id is the smallest doc_id reachable. Rows
-    with a null id take part with their text, but give no component its name; a component of such rows only has a null
-    component_id. Repeated rows share a component. An empty table gives an empty result; other columns of docs are not
-    read.
+    Fingerprints within 2 * radius bits are linked; component_id is the smallest doc_id reachable. Rows with a null id take
+    part with their text, but give no component its name; a component of such rows only has a null component_id. Rows
+    that share an id are linked by their texts only. An empty table gives an empty result; other columns are not read.
     """
-    if similarity is None:
-        rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    else:
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
-        rows = materialize(shingle_sets(texts, words, similarity, frequent_shingles(texts, words)), "fingerprints")
-    # The node of a fingerprint is its smallest id, and where all its ids are null a number below any id.
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialize(nodes.withColumn("rep", F.coalesce("least", F.xxhash64("fp").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1)))), "nodes")
-    links = ball_links(nodes.select("fp", "rep"), nodes.count(), per_prefix=per_prefix, radius=radius)
-    roots = components(links, "a", "b").withColumnRenamed("node", "rep")
-    if similarity is not None:
-        rooted = materialize(nodes.join(roots, "rep", "left").select("fp", "copies", "rep", F.coalesce("root", "rep").alias("root")), "roots")
-        sets = join_unique(rows.select("fp", "k", "n", "hashes"), rooted.select("fp", "copies", "root"), "fp", "copies").drop("copies")
-        sets = materialize(sets.select("k", "n", "hashes", "root"), "rooted")
-        further = components(similar_links(sets, texts, words, similarity), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("_least"))
-        roots = rooted.join(further, "root", "left").select("rep", F.coalesce("_least", "root").alias("root")).filter("rep <> root")
-    named = nodes.join(roots, "rep", "left").select("fp", "copies", F.coalesce("root", F.when(F.col("least").isNotNull(), F.col("rep"))).alias("component_id"))
-    named = materialize(named, "components")
+    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    rooted = nodes.join(fingerprint_roots(nodes, per_prefix, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialize(rooted, "roots")
+    # a component's fingerprints are few for most; its name is a minimum, combined before it is shuffled
+    large = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = materialize(join_unique(rooted.select("fp", "copies", "root"), large, "root", "n").select("fp", "copies", "component_id"), "components")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return join_unique(rows.select("doc_id", "fp"), named, "fp", "copies").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, words: int = STAGE_WORDS, radius: int = RADIUS, similarity: float | None = STAGE_SIMILARITY) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; all columns as they were."""
-    found = near_duplicates(docs, words=words, radius=radius, similarity=similarity)
-    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+def fingerprint_roots(nodes: DataFrame, per_prefix: int = VARIANTS_PER_PREFIX, radius: int = RADIUS) -> DataFrame:
+    """(fp, root) of every distinct fingerprint that has a link and isn't the least of its component."""
+    links = ball_links(nodes.select("fp"), nodes.count(), per_prefix=per_prefix, radius=radius)
+    return components(links, "a", "b").withColumnRenamed("node", "fp")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
