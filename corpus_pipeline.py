@@ -11,7 +11,7 @@ from variorum.llm.bpe import encode_documents
 from variorum.llm.exact_dedup import drop_exact_duplicates
 from variorum.llm.mixing import mix_sources
 from variorum.llm.quality import drop_low_quality
-from variorum.llm.simhash import drop_near_duplicates
+from variorum.llm.similar import drop_near_duplicates
 from variorum.session import ship
 
 
