@@ -9,9 +9,11 @@ found exactly, on sets of shingle hashes:
    with; that is nearly every text.
 2. The rest give all their shingles, which are counted among the rest. A text most of whose shingles no other has is done
    with too. Of the others the rarest shingles are kept, as many as two similar texts can't but share one of.
-3. Texts that meet there are compared in full. First each with the first and with the last text that has the shingle, so
-   that a group of near copies is joined by as many comparisons as it has texts; then all that meet and still have
-   different roots.
+3. Texts that meet there are compared. First each with the pivot of the shingle where it meets others, the text with the
+   fewest shingles of its own, so that a group of near copies is joined by about as many comparisons as it has texts. Then all
+   that meet, still have different roots, and can be alike: what follows the first shingle that both have must be enough, and
+   two texts differ at least by what each has of its own and by the difference of what they lack of one pivot. Those
+   pairs are counted in full.
 
 Nothing is capped or sampled; orders and counts only decide which texts meet.
 """
@@ -62,78 +64,78 @@ def shingle_sets(texts: DataFrame, words: int, similarity: float | None) -> Data
     return texts.select(*names, "text").mapInArrow(compute, ", ".join(f"{c} long" for c in [*names, "fp", "n"]) + ", hashes array<long>")
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """(h, df) of shingles that texts of different roots have, from (h, root) rows; combined before the shuffle."""
-    found = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return found.filter("lo < hi").select("h", "df")
-
-
-def candidates(sets: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(num, fp, root, n, hashes, kept): texts that may be similar to one of another root, all their hashes, and the rarest of
-    those that texts of other roots have. sets: num, k1, k2, fp, root, n and the first hashes of each distinct text."""
+def candidates(rows: DataFrame, roots: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(num, fp, root, n, hashes, kept, shared, own): texts that may be similar to one of another root, all their hashes, the
+    rarest of those that texts of other roots have, and the numbers of those and of what no other text has. rows: num, k1, k2, n and first hashes of each row."""
     least = lambda n: F.ceil(F.lit(similarity) * n - F.lit(1e-9))
-    dealt = sets.select("num", "n", "root", F.explode("hashes").alias("h"))
-    told = dealt.join(_shared(dealt), "h").groupBy("num", "n").agg(F.count(F.lit(1)).alias("c"))
+    dealt = rows.select("num", "n", F.explode("hashes").alias("h"))
+    met = dealt.groupBy("h").agg(F.min("num").alias("lo"), F.max("num").alias("hi")).filter("lo < hi").select("h")
+    told = dealt.join(met, "h").groupBy("num", "n").agg(F.count(F.lit(1)).alias("c"))
     active = told.filter(F.col("c") >= F.ceil(F.lit(SHARE) * least(F.col("n")) - F.lit(1e-9))).select("num")
-    active = materialize(sets.drop("hashes", "n", "fp").join(active, "num"), "active")
-    keys = text_keys(F.col("text"))
-    texts = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text")).join(active, ["k1", "k2"]).dropDuplicates(["num"])
-    whole = materialize(shingle_sets(texts.select("num", "root", "text"), words, None), "sets")
+    active = rows.select("num", "k1", "k2", "fp").join(active, "num").groupBy("k1", "k2", "fp").agg(F.min("num").alias("num"), F.count(F.lit(1)).alias("copies"))
+    active = materialize(active.join(roots.select("fp", "root"), "fp").select("num", "k1", "k2", "root", "copies"), "active")
+    found = docs.select(*text_keys(F.col("text")), F.coalesce("text", F.lit("")).alias("text")).join(active, ["k1", "k2"])
+    # a text that one row has needs no grouping
+    one, more = found.filter("copies = 1"), found.filter("copies > 1").dropDuplicates(["num"])
+    whole = materialize(shingle_sets(one.unionByName(more).select("num", "root", "text"), words, None), "sets")
     dealt = whole.select("num", "n", "root", F.explode("hashes").alias("h"))
-    known = dealt.join(_shared(dealt), "h").groupBy("num", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("known"))
-    known = known.withColumn("spare", (F.size("known") - least(F.col("n")) + 1).cast("int")).filter("spare > 0")
+    met = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("apart")).filter("df > 1")
+    met = dealt.join(met, "h").groupBy("num", "n").agg(F.sort_array(F.collect_list(F.when(F.col("apart"), F.struct("df", "h")))).alias("known"), F.count(F.lit(1)).alias("c"))
+    met = met.withColumn("spare", (F.size("known") - least(F.col("n")) + 1).cast("int")).filter("spare > 0")
     kept = F.transform(F.slice("known", 1, F.col("spare")), lambda x: x["h"])
-    return materialize(whole.join(known.select("num", kept.alias("kept")), "num"), "candidates")
+    return materialize(whole.join(met.select("num", kept.alias("kept"), F.size("known").alias("shared"), (F.col("n") - F.col("c")).alias("own")), "num"), "candidates")
 
 
-def similar_links(index: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between roots, of pairs (x, y) of numbers whose sets are counted in full."""
+def overlaps(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (x, y) of numbers with n, root of both and the number o of shingles that both have."""
     sides = [index.select(F.col("num").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("hashes").alias(f"h{c}")) for c in "xy"]
     both = pairs.join(sides[0], "x").join(sides[1], "y")
-    o = F.size(F.array_intersect("hx", "hy"))
-    return both.filter(o / (F.col("nx") + F.col("ny") - o) >= similarity - 1e-12).select(F.col("rx").alias("a"), F.col("ry").alias("b")).distinct()
+    return both.select("x", "y", "nx", "ny", "rx", "ry", F.size(F.array_intersect("hx", "hy")).alias("o"))
 
 
 def similar_roots(index: DataFrame, similarity: float) -> DataFrame:
     """(root, least): roots of ``candidates`` that similar texts join, with the least root that each comes to."""
-    alike = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - F.lit(1e-6)
-    links = None
-
-    def renewed() -> DataFrame:
-        if links is None:
-            return index
-        moved = components(links, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("_least"))
-        return index.join(moved, "root", "left").withColumn("now", F.coalesce("_least", "root")).drop("_least")
-
-    for end in (F.min, F.max, None):
-        present = renewed()
-        now = "root" if links is None else "now"
-        met = present.select("num", "n", F.col(now).alias("root"), F.explode("kept").alias("h"))
-        if end is not None:
-            pivot = met.groupBy("h").agg(end(F.struct("num", "n", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-            pairs = met.join(pivot.select("h", F.col("p.num").alias("y"), F.col("p.n").alias("m"), F.col("p.root").alias("other")), "h")
-            pairs = pairs.filter((F.col("root") != F.col("other")) & alike).select(F.col("num").alias("x"), "y")
-        else:
-            live = materialize(met.join(_shared(met).select("h"), "h", "left_semi"), "live")
-            other = live.select("h", F.col("num").alias("y"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = live.join(other, "h").filter((F.col("root") < F.col("other")) & alike).select(F.col("num").alias("x"), "y")
-        pairs = materialize(pairs.distinct(), "pairs")
-        found = similar_links(index, pairs, similarity)
-        links = materialize(found if links is None else links.unionByName(found), "links")
-    return components(links, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("least"))
+    alike = F.col("o") >= (F.col("nx") + F.col("ny")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    as_long = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - F.lit(1e-6)
+
+    def links(counted: DataFrame) -> DataFrame:
+        return counted.filter(alike & (F.col("rx") != F.col("ry"))).select(F.col("rx").alias("a"), F.col("ry").alias("b")).distinct()
+
+    # after: how many of a text's shared shingles come from this one on, in the order that all texts' are kept in
+    met = index.select("num", "n", "root", "own", "shared", F.posexplode("kept").alias("at", "h")).withColumn("after", F.col("shared") - F.col("at")).drop("shared", "at")
+    pivots = met.groupBy("h").agg(F.min(F.struct("own", "num", "n")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    pivots = materialize(pivots.select("h", F.col("p.num").alias("pivot"), F.col("p.n").alias("m")), "pivots")
+    star = met.join(pivots, "h").filter((F.col("num") != F.col("pivot")) & as_long).select(F.col("num").alias("x"), F.col("pivot").alias("y")).distinct()
+    star = materialize(overlaps(index, star), "star")
+    first = links(star)
+
+    moved = components(first, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("_least"))
+    now = met.join(moved, "root", "left").withColumn("root", F.coalesce("_least", "root")).drop("_least")
+    apart = now.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    lacks = star.select(F.col("x").alias("num"), F.col("y").alias("pivot"), (F.col("ny") - F.col("o")).alias("lacks"))
+    live = now.join(apart, "h").join(pivots, "h").join(lacks, ["num", "pivot"], "left")
+    at_pivot = F.col("num") == F.col("pivot")  # what the pivot has of its own is what others lack of it
+    live = live.withColumns({"own": F.when(at_pivot, 0).otherwise(F.col("own")), "lacks": F.when(at_pivot, 0).otherwise(F.col("lacks"))})
+    live = materialize(live.select("h", "num", "n", "root", "own", "lacks", "after"), "live")
+    other = live.select("h", *[F.col(c).alias(d) for c, d in (("num", "y"), ("n", "m"), ("root", "other"), ("own", "others_own"), ("lacks", "others_lacks"), ("after", "others_after"))])
+    differ = F.col("own") + F.col("others_own") + F.coalesce(F.abs(F.col("lacks") - F.col("others_lacks")), F.lit(0))
+    near = differ <= (F.col("n") + F.col("m")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    # at the first shingle that both have, all that they share is still to come
+    enough = F.least("after", "others_after") >= (F.col("n") + F.col("m")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    pairs = live.join(other, "h").filter((F.col("root") < F.col("other")) & as_long & enough & near).select(F.col("num").alias("x"), "y").distinct()
+    found = materialize(first.unionByName(links(overlaps(index, materialize(pairs, "pairs")))), "links")
+    return components(found, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("least"))
 
 
 def near_components(docs: DataFrame, *, words: int = STAGE_WORDS, radius: int = RADIUS, similarity: float = STAGE_SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, fp) of every row, and (fp, copies, root) of every distinct fingerprint, the least of its component."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), text.alias("text"))
-    rows = materialize(shingle_sets(texts, words, similarity), "shingles")
+    rows = materialize(shingle_sets(texts, words, similarity).withColumn("num", F.monotonically_increasing_id()), "shingles")
     nodes = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "nodes")
     rooted = nodes.join(fingerprint_roots(nodes, radius=radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "roots")
-    one = rows.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    sets = join_unique(one.filter("n > 0"), rooted, "fp", "copies").drop("copies").withColumn("num", F.monotonically_increasing_id())
-    further = similar_roots(candidates(materialize(sets, "texts"), docs, words, similarity), similarity)
+    further = similar_roots(candidates(rows, rooted, docs, words, similarity), similarity)
     rooted = materialize(rooted.join(further, "root", "left").select("fp", "copies", F.coalesce("least", "root").alias("root")), "components")
     return rows.select("doc_id", "k1", "k2", "fp"), rooted
 
