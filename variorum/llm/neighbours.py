@@ -1,13 +1,14 @@
 """Nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of one codeword from each of ``BOOKS`` codebooks, each codeword as long as the vector. The
-codebooks are fitted on a bounded sample: k-means on residuals book after book, then rounds of encoding and least
-squares for all books at once. Every vector is encoded by beam search, and its norm is stored beside its code. A query
+codebooks are fitted on a bounded sample: k-means on residuals, book after book. Every vector is encoded by beam search, and its norm is stored beside its code. A query
 is scored against codes through a table of its products with all codewords, scaled by the stored norm; the best
 ``KEPT`` are scored exactly on the original vectors.
 
 The query set is searched against all vectors in blocks: each block of vectors meets each block of queries once, by an
-equi-join on the query block's number, and a task keeps the best of its group of vector blocks. Equal vectors are indexed once, so that a vector with very many copies neither
+equi-join on the query block's number, and a task keeps the best of its group of vector blocks. A block of queries is as
+large as memory lets it be, and only as much smaller as it takes to have ``SPREAD`` of them, so codes
+are copied that often until there are more queries than as many full blocks hold. Equal vectors are indexed once, so that a vector with very many copies neither
 fills the candidates nor makes a hot key; only as many of its ids as an answer can hold are kept beside it.
 """
 
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from variorum.llm._shared import hash_sample, join_unique, materialize
 
-#: Codebooks, codewords of each, beam of the encoder, vectors that the index is fitted on, rounds of fitting.
-BOOKS, WORDS, BEAM, SAMPLE, ROUNDS, SEED = 32, 256, 4, 16_384, 0, 8
-#: Candidates that are scored exactly, neighbours of a query, vectors of a block, blocks of a group, queries of a block, each how manieth row is a query.
-KEPT, NEIGHBOURS, BLOCK, GROUP, QUERIES, EVERY = 200, 20, 8192, 64, 128, 20
+#: Codebooks, codewords of each, beam of the encoder, vectors that the index is fitted on.
+BOOKS, WORDS, BEAM, SAMPLE, SEED = 32, 256, 4, 16_384, 8
+#: Candidates that are scored exactly, neighbours of a query, vectors of a block, blocks of a group, each how manieth row is a query.
+KEPT, NEIGHBOURS, BLOCK, GROUP, EVERY = 200, 20, 8192, 64, 20
+#: Queries of a block at most, blocks of queries that there are at least, if they hold ``AT_ONCE``; queries scored at once.
+QUERIES, SPREAD, AT_ONCE = 4096, 16, 128
 
 
 class Quantizer:
@@ -36,7 +39,7 @@ class Quantizer:
         self.norms = (self.books * self.books).sum(axis=2)
 
     @staticmethod
-    def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, seed: int = SEED) -> Quantizer:
+    def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = SEED) -> Quantizer:
         r = np.random.default_rng(seed)
         x = x.astype(np.float32)
         words = max(1, min(words, len(x) // 4))
@@ -51,20 +54,7 @@ class Quantizer:
             near = (rest @ centre.T - (centre * centre).sum(axis=1) / 2).argmax(axis=1)
             rest -= centre[near]
             out.append(centre)
-        best = Quantizer(np.stack(out))
-        for _ in range(rounds):
-            codes = best.encode(x)
-            used = (codes + np.arange(books) * words).astype(np.int64)
-            gram = np.zeros((books * words, books * words))
-            for i in range(books):
-                for j in range(books):
-                    np.add.at(gram, (used[:, i], used[:, j]), 1)
-            right = np.zeros((books * words, x.shape[1]))
-            for i in range(books):
-                np.add.at(right, used[:, i], x)
-            solved = np.linalg.solve(gram + 0.05 * np.eye(len(gram)), right + 0.05 * best.books.reshape(len(gram), -1))
-            best = Quantizer(solved.reshape(books, words, -1))
-        return best
+        return Quantizer(np.stack(out))
 
     def encode(self, x: np.ndarray, beam: int = BEAM, block: int = 1024) -> np.ndarray:
         """The code of the least error that a beam search over the books finds."""
@@ -135,11 +125,13 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     """query_id, rank, vec_id, score: the nearest by inner product of each row whose id is divisible by ``every``.
 
     Candidates are all rows but the query's own; equal scores go to the smaller id. Vectors that are null, zero, hold null or
-    non-finite components, have a null id, or another length than most take no part. Of rows that repeat an id
+    non-finite components, have a null id, or another length than most (no inner product) take no part. Vectors of float
+    or double are told apart and scored as they are; only the index holds them as float. Of rows that repeat an id
     each is a row of its own, but none is a neighbour of its own id. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull())
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding")).filter(F.col("vec_id").isNotNull())
     rows = rows.filter(usable(F.col("embedding")))
     length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if length is None:
@@ -179,7 +171,9 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
             x = np.asarray(batch.column("embedding").flatten(), np.float32).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([row.tobytes() for row in x], pa.binary())], names=["rep", "vector"])
 
-    query_blocks, count = _blocks(wide.mapInArrow(flatten, "rep long, vector binary"), queries.count(), QUERIES, "query_block", {"rep": "<i8", "vector": "raw"})
+    asking = queries.count()
+    size = max(AT_ONCE, min(QUERIES, -(-asking // SPREAD)))
+    query_blocks, count = _blocks(wide.mapInArrow(flatten, "rep long, vector binary"), asking, size, "query_block", {"rep": "<i8", "vector": "raw"})
     query_blocks = materialize(query_blocks.select("query_block", F.col("rep").alias("query_reps"), "vector"), "query-blocks")
     grouped = materialize(vector_blocks, "vector-blocks").withColumn("vector_group", F.floor(F.col("vector_block") / GROUP).cast("int"))
     meetings = grouped.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(query_blocks, "query_block")
@@ -189,23 +183,25 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         blocks = [(np.frombuffer(r, "<i8"), np.frombuffer(c, np.uint8), np.frombuffer(n, "<f4")) for r, c, n in zip(*(table.column(k).to_pylist() for k in ("rep", "code", "norm")))]
         asked = np.frombuffer(table.column("query_reps")[0].as_py(), "<i8")
         q = np.frombuffer(table.column("vector")[0].as_py(), "<f4").reshape(len(asked), -1)
-        products = index.table(q)
-        found: list[list] = [[] for _ in asked]
-        for reps, codes, norm in blocks:
-            codes = codes.reshape(len(reps), -1)
-            scores = np.zeros((len(reps), len(asked)), np.float32)
-            for b in range(len(products)):
-                scores += products[b][codes[:, b]]
-            scores = np.ascontiguousarray((scores * norm[:, None]).T)
-            for k, p in enumerate(best_of(scores, kept)):
-                found[k].append((reps[p], scores[k, p]))
         who, ids, near = [], [], []
-        for k, parts in enumerate(found):
-            r, s = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            p = np.lexsort((r, -s))[:kept]
-            who.append(np.full(len(p), asked[k]))
-            ids.append(r[p])
-            near.append(s[p])
+        for at in range(0, len(asked), AT_ONCE):
+            part = asked[at : at + AT_ONCE]
+            products = index.table(q[at : at + AT_ONCE])
+            found: list[list] = [[] for _ in part]
+            for reps, codes, norm in blocks:
+                codes = codes.reshape(len(reps), -1)
+                scores = np.zeros((len(reps), len(part)), np.float32)
+                for b in range(len(products)):
+                    scores += products[b][codes[:, b]]
+                scores = np.ascontiguousarray((scores * norm[:, None]).T)
+                for k, p in enumerate(best_of(scores, kept)):
+                    found[k].append((reps[p], scores[k, p]))
+            for k, parts in enumerate(found):
+                r, s = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+                p = np.lexsort((r, -s))[:kept]
+                who.append(np.full(len(p), part[k]))
+                ids.append(r[p])
+                near.append(s[p])
         return pa.table({"query": np.concatenate(who), "rep": np.concatenate(ids), "near": np.concatenate(near)})
 
     found = meetings.groupBy("query_block", "vector_group").applyInArrow(search, "query long, rep long, near float")

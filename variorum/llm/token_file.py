@@ -22,7 +22,7 @@ import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -31,6 +31,8 @@ from variorum.llm.bpe import FURTHER, PieceEncoder, byte_letters, tokenizer_path
 
 #: Bytes of ids in a frame, bytes of text for a file, bytes of text that are encoded together, id of the end token, pieces that a worker remembers.
 FRAME, FILE, SLICE, END, MEMO = 1 << 18, 32 << 20, 8 << 20, 2, 600_000
+#: Files whose ids are summed together, tasks that read at most.
+STRIDE, READERS = 1000, 20_000
 #: Fixed values of the public format.
 SEEK_FRAME, INDEX_FRAME, SEEK_END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 _TABLE = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
@@ -174,7 +176,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer:
     """Write docs in ascending doc_id order into files of about ``per_file`` bytes of text, and return (file, path, docs, ids).
 
     A null text is the empty text, of which only the end token is written; null ids come first; rows that share an id
-    keep no order among themselves but that of their texts. An empty table makes no file. Each file is written under another name
+    come in the order of a hash of their texts, and may be in several files. An empty table makes no file. Each file is written under another name
     and then renamed, so a task that is run again, or twice, leaves one whole file.
     """
     spark = docs.sparkSession
@@ -206,18 +208,26 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, tokenizer:
         files.move(own, f"{base}/{final}")
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([f"{folder}/{final}"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.ids], pa.int64())], schema=schema)
 
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # an id that many rows share, or have none of, is dealt by text, and rows alike in both at random
+    order = rows.withColumns({"_text": F.xxhash64("text"), "_row": F.rand(END)})
+    dealt = order.repartitionByRange(files, "doc_id", "_text", "_row").sortWithinPartitions("doc_id", "_text", "_row").drop("_text", "_row")
     return materialize(dealt.mapInArrow(write, "file int, path string, docs long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, read back from the files."""
-    spark = files.sparkSession
-    known = sorted(files.collect(), key=lambda r: r.file)  # a row for each file of per_file bytes
-    before, todo = 0, []
-    for r in known:
-        todo.append((r.path, before))
-        before += r.ids
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, read back from the files.
+
+    files: what ``write_token_files`` returns. Where a file starts is a running sum over ``STRIDE`` files at a time, and
+    over the sums of those: no list of files comes to the driver. A document without text has its end token only, a
+    null id stays null; without files the result is empty. A damaged frame raises an error.
+    """
+    group = (F.col("file") / STRIDE).cast("int")
+    sums = files.groupBy(group.alias("_group")).agg(F.sum("ids").alias("_ids"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_group", F.coalesce(F.sum("_ids").over(before(Window.partitionBy(F.lit(0)).orderBy("_group"))), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("ids").over(before(Window.partitionBy("_group").orderBy("file"))), F.lit(0))
+    todo = files.withColumn("_group", group).withColumn("_within", within).join(sums, "_group").select("file", "path", (F.col("_before") + F.col("_within")).alias("start"))
+    todo = materialize(todo, "file-starts")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +241,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 starts = np.concatenate(([start], ends[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(starts, pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], schema=schema)
 
-    rows = spark.createDataFrame(todo, "path string, start long").repartition(max(1, len(todo)))
+    rows = todo.repartitionByRange(max(1, min(todo.count(), READERS)), "file").select("path", "start")
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
