@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.conftest import SF
-from variorum.llm import bpe, components, exact_dedup, language, language_model, mixing, neighbours, quality, registry, simhash, token_file, toxicity
+from variorum.llm import bpe, components, exact_dedup, language, language_model, mixing, neighbours, quality, registry, similar, simhash, token_file, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, tokens array<string>"
 
@@ -83,6 +83,17 @@ def test_drop_exact_duplicates(odd):
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [3, 4, 5, 6, 7, 8]
 
 
+def test_exact_duplicates_of_odd_ids(spark, empty):
+    least = -(1 << 63)
+    docs = documents(spark, [(least, "a"), (0, "a"), (None, "a"), (5, "b"), (5, "b "), (5, "c"), (None, "d"), (None, "d")]).withColumnRenamed("score", "_key")
+    got = {(r.doc_id, r.kept): r.keep_id for r in exact_dedup.exact_duplicates(docs.filter("text = 'a'")).collect()}
+    assert got == {(least, True): least, (0, False): least, (None, False): least}
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept.collect()) == [(False, least, "a"), (False, 5, "b "), (False, 5, "c"), (True, None, "d")]
+    assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_exact_duplicates(empty).count() == 0
+
+
 # --- near duplicates
 
 
@@ -109,7 +120,7 @@ def test_fingerprints():
         assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("per_prefix", [1 << 21, 5000])
+@pytest.mark.parametrize("per_prefix", [1 << 21, 5000, 300])
 def test_ball_links_find_every_pair(spark, per_prefix):
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(40)]
@@ -118,10 +129,10 @@ def test_ball_links_find_every_pair(spark, per_prefix):
         for _ in range(3):
             fps.add(b ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 6))))
     fps = sorted(fps)
-    rows = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)]
-    links = simhash.ball_links(spark.createDataFrame(rows, "fp long, rep long"), len(fps), per_prefix=per_prefix)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    links = simhash.ball_links(spark.createDataFrame([(x,) for x in signed], "fp long"), len(fps), per_prefix=per_prefix)
     roots = {x.node: x.root for x in components.components(links, "a", "b").collect()}
-    assert [roots.get(i, i) for i in range(len(fps))] == brute_components(range(len(fps)), fps)
+    assert [roots.get(x, x) for x in signed] == brute_components(signed, fps)
 
 
 def test_near_duplicates(spark, odd, empty):
@@ -130,7 +141,30 @@ def test_near_duplicates(spark, odd, empty):
     assert got[7].component_id == 6 and got[4].component_id == 4
     assert simhash.near_duplicates(odd).count() == len(ODD)
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.drop_near_duplicates(odd).columns == odd.columns
+    assert similar.drop_near_duplicates(odd).columns == odd.columns and similar.drop_near_duplicates(empty).count() == 0
+
+
+def test_meeting_in_parts():
+    """However little is written out at once, the same fingerprints meet."""
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(30)]
+    fps = np.array(sorted({*base, *(b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base)}), np.uint64)
+    left = np.full(len(fps), 2)
+    assert simhash.meet(fps, left, 0).tolist() == simhash.meet(fps, left, 0, at_once=500).tolist()
+
+
+def test_components_are_of_texts_and_not_of_ids(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    a, b = corpus(2)[0][1], corpus(2)[1][1]
+    docs = documents(spark, [(3, a), (5, a), (5, b), (None, b), (None, b), (None, a + " zz")])
+    got = simhash.near_duplicates(docs)
+    fp = {"a": brute_fingerprint(a), "b": brute_fingerprint(b)}
+    named = {(r.doc_id, r.fingerprint): r.component_id for r in got.collect()}
+    assert named[3, f"{fp['a']:016x}"] == named[5, f"{fp['a']:016x}"] == 3 and named[5, f"{fp['b']:016x}"] == named[None, f"{fp['b']:016x}"] == 5
+    kept = [(r.doc_id, r.text) for r in similar.drop_near_duplicates(docs.filter("text not like '%zz'")).collect()]
+    assert sorted(kept) == [(3, a), (5, b)]
+    # equal texts without ids: one stays
+    assert similar.drop_near_duplicates(documents(spark, [(None, a), (None, a)])).count() == 1
 
 
 def test_near_duplicates_by_similarity(spark):
@@ -157,9 +191,9 @@ def test_near_duplicates_by_similarity(spark):
     while (now := [min(label[j] for j in {*alike[i], *near[i]}) for i in range(len(rows))]) != label:
         label = now
     docs = documents(spark, rows)
-    kept = {x.doc_id for x in simhash.drop_near_duplicates(docs).collect()}
+    kept = {x.doc_id for x in similar.drop_near_duplicates(docs).collect()}
     assert kept == set(label)
-    assert len(kept) < simhash.drop_near_duplicates(docs, words=4, similarity=None).count()
+    assert len(kept) < simhash.near_duplicates(docs).select("component_id").distinct().count()
 
 
 def test_components_of_a_path(spark):
@@ -254,21 +288,74 @@ def test_frames_are_read_alone_and_checked():
 # --- language model
 
 
-def test_language_model(spark, odd, empty):
-    rows = [*corpus(40), (100, None), (101, "New UNSEEN words")]
-    got = {r.doc_id: r for r in language_model.text_scores(documents(spark, rows), chunk_words=200, per_bucket=1500).collect()}
+def brute_counts(tokens, docs):
+    """Counts of words, of contexts and of pairs; None is the mark before a text's first word."""
+    word, context, pair = Counter(), Counter(), Counter()
+    for i in docs:
+        word.update(tokens[i])
+        for v, w in zip([None, *tokens[i]], tokens[i]):
+            context[v] += 1
+            pair[v, w] += 1
+    return word, context, pair
+
+
+@pytest.mark.parametrize("settings", [{}, {"chunk_words": 200, "per_bucket": 1500}, {"chunk_words": 100, "per_bucket": 300, "fan": 3}])
+def test_language_model(spark, monkeypatch, settings):
+    rows = [*corpus(40), (100, None), (101, "New UNSEEN words"), *((200 + k, "a \0start") for k in range(5))]
+    learned = []
+    learn = language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda cells, v: learned.append(learn(cells, v)) or learned[-1])
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in language_model.text_scores(docs, **settings).collect()}
+    half = dict(docs.select("doc_id", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(2))).collect())
     tokens = {i: [*re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()), b""] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v = sum(c.values()), len(c)
+    train = [i for i in tokens if not held[i]]
+    word, context, pair = brute_counts(tokens, train)
+    n, v = sum(word.values()), len(word)
+    bucket = lambda c: min(c.bit_length(), language_model.BUCKETS - 1)
     for i, ws in tokens.items():
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert r.score < 0
-    again = {r.doc_id: r.score for r in language_model.text_scores(documents(spark, rows)).collect()}
-    assert all(math.isclose(again[i], got[i].score, rel_tol=1e-9) for i in again)  # chunks and buckets don't matter
-    assert language_model.text_scores(odd).count() == len(ODD) and language_model.text_scores(empty).count() == 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(word[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((word[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+        want = 0
+        for before, w in zip([None, *ws], ws):
+            a, b, c = learned[0][bucket(context[before])]
+            want += math.log10(a * pair[before, w] / max(1, context[before]) + b * word[w] / n + c / (v + 1))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+    # the weights: expectation-maximisation on each half's words, estimated on the other half
+    told = {}
+    for k in (0, 1):
+        others = brute_counts(tokens, [i for i in train if half[i] != k])
+        size = sum(others[0].values())
+        for i in train:
+            if half[i] == k:
+                for before, w in zip([None, *tokens[i]], tokens[i]):
+                    p = (others[2][before, w] / max(1, others[1][before]), others[0][w] / size, 1 / (v + 1))
+                    told.setdefault(bucket(others[1][before]), []).append(p)
+    for b, p in told.items():
+        p = np.array(p)
+        w = np.array([0.0, 0.5, 0.5]) if b == 0 else np.full(3, 1 / 3)
+        for _ in range(language_model.ROUNDS):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        # cells hold estimates of one power of two as their mean, so that weights differ a little
+        loss = lambda w: -np.log(np.maximum(p @ w, 1e-300)).mean()
+        assert loss(learned[0][b]) <= loss(w) + 0.02
+
+
+def test_language_model_of_odd_tables(odd, empty):
+    got = language_model.text_scores(odd).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD)
+    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and language_model.text_scores(empty).count() == 0
+    assert len({r.score for r in got if r.doc_id == 4}) == 1
+
+
+def test_levels_grow_slowly():
+    assert language_model.levels(1) == [1] and language_model.levels(256) == [256] and language_model.levels(257) == [17, 289]
+    for buckets in (1000, 70_000, 9_000_000):
+        ranges = language_model.levels(buckets)
+        assert ranges[-1] >= buckets and all(b == a * ranges[0] for a, b in zip(ranges, ranges[1:])) and ranges[0] <= 256
 
 
 def test_mixture_weights_are_learned():
@@ -278,13 +365,6 @@ def test_mixture_weights_are_learned():
     assert w[0].tolist() == [0.0, 0.0, 1.0]
 
 
-def test_interpolation_sums_to_one():
-    counts, v = Counter({b"a": 5, b"b": 3}), 2
-    a, b, c = 0.5, 0.3, 0.2
-    total = sum(a * {b"a": 0.75, b"b": 0.25}.get(w, 0) + b * counts[w] / 8 + c / (v + 1) for w in (b"a", b"b", b"?"))
-    assert math.isclose(total, 1)
-
-
 # --- classifiers and language
 
 
@@ -335,6 +415,50 @@ def test_classifiers(spark, odd, empty, scores, label):
     assert {round(x.score, 6) for x in scores(documents(spark, [(5, None), (6, "x")]), labels.limit(0)).collect()} == {0.5}
 
 
+def test_labelled_sample_is_bounded(spark):
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [*((7, f"text {k}") for k in range(500)), (8, "both"), (9, long), (10, None)]
+    labels = spark.createDataFrame([(7, 1), (8, 0), (8, 1), (9, 0), (9, 0), (10, 0), (None, 1), (11, None)], "doc_id long, quality int")
+    got = quality.labelled_sample(documents(spark, rows), labels, "quality", 1 << 20, 3)
+    assert [y for _, y in got] == [1, 0, 0] and got[2] == ("", 0)
+    assert len(got[1][0]) == quality.LONGEST_SAMPLE and got[1][0].startswith("w0 w1") and got[1][0].endswith("w19999")
+
+
+def test_toxic_windows_and_their_lengths():
+    """The toxic dictionary is trained on windows of toxic texts; differences are those of plain compression."""
+    import zstandard
+
+    r = random.Random(3)
+    plain = [" ".join("".join(r.choices("aeiourtn", k=5)) for _ in range(60)) for _ in range(150)]
+    toxic = [t + " horrid vermin" for t in plain[100:]]
+    assert set(toxicity.toxic_windows(toxic, plain[:100])) == {b" horrid ", b" vermin "}
+    model = toxicity.Toxicity(toxicity.trained([b" horrid ", b" vermin "] * 50, 64), toxicity.trained(toxicity.ordinary_windows(plain[:100]), 4000))
+    params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    for word in (b"vermin", b"horrid", b"aeiou", b"x" * 150):
+        size = []
+        for content in (model.ordinary, model.toxic + model.carrier):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            size.append([len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress((b" " + word + b" ")[k : k + 64] + model.carrier)) for k in range(0, max(1, len(word) + 2 - 32), 32)])
+        assert model.difference(word) == max(a - b for a, b in zip(*size))
+    assert model.difference(b"vermin") > model.difference(b"aeiou")
+
+
+def test_networks_score_by_hand():
+    net = quality.Network(seed=2)
+    text = b"Some text of more than one chunk. " * 20
+    p, hidden = net.p, []
+    for row in quality.chunks(text):
+        x = p["byte"][row]
+        z = []
+        for at in range(0, quality.CHUNK - 2 * quality.STRIDE + 1, quality.STRIDE):
+            left, right = x[at : at + quality.STRIDE].ravel(), x[at + quality.STRIDE : at + 2 * quality.STRIDE].ravel()
+            z.append(np.maximum(left @ p["left"] + right @ p["right"] + p["filter"], 0))
+        hidden.append(np.maximum(np.concatenate([np.max(z, axis=0), np.mean(z, axis=0)]) @ p["hidden"] + p["unit"], 0))
+    d = np.concatenate([np.max(hidden, axis=0), np.mean(hidden, axis=0)])
+    assert math.isclose(net.score([text, b""])[0], 1 / (1 + math.exp(-(d @ p["out"] + p["bias"][0]))), rel_tol=1e-4)
+
+
 def test_languages(spark, odd, empty):
     got = {r.doc_id: r for r in language.languages(odd).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[4].lang_pred == "en"
@@ -385,6 +509,44 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix_sources(odd).columns == odd.columns and mixing.mixture(odd).filter("doc_id = 5").count() <= 1
 
 
+def test_mixing_limits(spark, empty):
+    table = lambda *sizes: spark.createDataFrame([(str(k), float(n)) for k, n in enumerate(sizes)], "source string, tokens double")
+    h = lambda sizes, a: (lambda p: -sum(x * math.log(x) for x in p))([(n / max(sizes)) ** a / sum((m / max(sizes)) ** a for m in sizes) for n in sizes])
+    near = (100, 101, 99, 100, 100.5)
+    assert math.isclose(h(near, mixing.exponent(table(*near), entropy=0.97, repeats=None)), 0.97 * math.log(5), rel_tol=1e-4)
+    assert mixing.exponent(table(7, 7, 7), entropy=0.9, repeats=None) == 1.0
+    rows = [(k, "w " * (1 + k % 7), "en", f"s{k % 3}") for k in range(300)]
+    docs = documents(spark, rows)
+    # no exponent keeps five times all tokens within two repeats: each source is given twice
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    given = mixing.mixture(docs, entropy=None, repeats=2.0, budget=5.0 * total).groupBy("doc_id").count().collect()
+    assert len(given) == 300 and {r["count"] for r in given} == {2}
+
+
+def test_mixing_of_shared_ids(spark, empty):
+    rows = [(1, "a " * 10, "en", "x"), (1, "b " * 10, "en", "y"), (1, "c", "en", "y"), *((None, "d e", "en", "x") for _ in range(50)), *((k, "f g h", "en", "y") for k in range(2, 60))]
+    docs = documents(spark, rows).withColumnRenamed("score", "_time").withColumnRenamed("fingerprint", "_KEY")
+    for repeats in (1.0, 3.0):
+        plan = Counter((r.doc_id, r.source, r.n_tokens) for r in mixing.mixture(docs, entropy=None, repeats=repeats, budget=300.0).collect())
+        out = mixing.mix_sources(docs, entropy=None, repeats=repeats, budget=300.0)
+        assert out.columns == docs.columns
+        assert Counter((r.doc_id, r.source, len(r.text.split())) for r in out.collect()) == plan
+        assert plan[None, "x", 2] % 50 == 0
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_mixture_order(spark):
+    """Blocks in the order of the seeded hash, and the cut within the last one, recomputed."""
+    rows = [(k, "w " * (1 + k % 5), "en", "big" if k % 4 else "small") for k in range(400)]
+    got = mixing.mixture(documents(spark, rows), entropy=None, repeats=1.0).collect()
+    hashed = spark.createDataFrame([(e, s, b) for s in ("big", "small") for e in (0, 1) for b in range(mixing.BLOCKS)], "epoch int, s string, block int")
+    place = {(r.s, r.epoch, r.block): r.h for r in hashed.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "epoch", "s", "block")).collect()}
+    for s in ("big", "small"):
+        mine = [r for r in got if r.source == s and r.epoch == 0]
+        in_order = sorted({r.block for r in mine}, key=lambda b: (place[s, 0, b], b))
+        assert [r for r in sorted({(r.block_place, r.block) for r in mine})] == [(k + 1, b) for k, b in enumerate(in_order)]
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(10)
     x = r.normal(size=(300, 8)).astype(np.float32)
@@ -404,6 +566,13 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_doubles_and_repeated_ids(spark):
+    rows = [(0, [1.0, 1e-9]), (20, [1.0, 2e-9]), (1, [61.0, 61.0]), (1, [61.0, 61.0]), (2, [3.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    mine = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == 0)
+    assert mine == [(1, 1, 61.0 + 61.0 * 1e-9), (2, 1, 61.0 + 61.0 * 1e-9), (3, 2, 3.0 + 1e-9), (4, 20, 1.0 + 1e-9 * 2e-9)]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "encoding"]

@@ -10,6 +10,11 @@ over. So documents are read in chunks of about ``CHUNK`` words. A chunk leaves i
 shared folder, and sends each distinct n-gram once, as a hash, to the bucket of that hash, where the counts of all
 chunks meet. A bucket answers each chunk with the totals alone, in the order in which the chunk asked. With these and
 its file a chunk yields the held-out statistics, and then its documents' scores. N-grams are told apart by 64-bit hashes.
+
+A chunk has a row for each bucket, so both growing with the corpus would make rows by the square. Beyond ``FAN`` buckets the
+exchange has levels: chunks ask at most ``FAN`` wide ranges of hashes; in each, groups of chunks are merged to one asker
+that holds what a chunk holds, and asks the ranges below; its answer is dealt back to its chunks. So there are at most
+FAN rows for a chunk on each level, and levels grow with the logarithm of the corpus.
 """
 
 from __future__ import annotations
@@ -30,17 +35,20 @@ from variorum.llm.token_file import file_system
 
 #: Words of a chunk; bytes of text whose n-grams a bucket holds, on average.
 CHUNK, PER_BUCKET = 1_500_000, 12 << 20
+#: Ranges that a chunk asks at most.
+FAN = 256
 #: Documents of this remainder of the id's crc32 are never learned from.
 MODULUS, HELD_OUT = 7, 2
 #: Buckets of a context's frequency (powers of two), rounds of expectation-maximisation, least weight.
 BUCKETS, ROUNDS, LEAST = 40, 100, 1e-6
-_END, _START = b"", b"\0start"  # neither can be a word
+#: The end of a text, which can't be a word, and the hash of the mark before its first word, which is no text at all.
+_END, _START = b"", xxhash.xxh64_intdigest(b"", 11)
 _ROW = "chunk string, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
 
 
 def pack(a: np.ndarray) -> bytes:
     """Bytes of equal weight together, compressed."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(a.size, -1).T
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(a.size, a.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<QB", a.size, a.dtype.itemsize) + planes.tobytes())
 
 
@@ -84,7 +92,7 @@ class Chunk:
     """Documents' words as numbers, in the order of the words' hashes."""
 
     def __init__(self) -> None:
-        self.place = _Numbers({_END: 0, _START: 1})
+        self.place = _Numbers({_END: 0, None: 1})
         self.words: list[np.ndarray] = []
         self.docs: list[tuple[int, int, int, int, int]] = []  # id, known, held out, half, words with the end
         self.size = 0
@@ -100,7 +108,7 @@ class Chunk:
 
     def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the distinct words in order, each token's number among them, and the documents."""
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in self.place), np.uint64, len(self.place))
+        hashes = np.fromiter((_START if w is None else xxhash.xxh64_intdigest(w, 7) for w in self.place), np.uint64, len(self.place))
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
@@ -115,7 +123,7 @@ def contexts(hashes: np.ndarray, tokens: np.ndarray, docs: np.ndarray) -> np.nda
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     ends = np.cumsum(docs["n"].astype(np.int64))
-    before[ends - docs["n"]] = np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(_START, 7)))
+    before[ends - docs["n"]] = np.searchsorted(hashes, np.uint64(_START))
     return before
 
 
@@ -159,7 +167,6 @@ def _write(path: str, hashes: np.ndarray, tokens: np.ndarray, docs: np.ndarray)
 
 def ask(docs: DataFrame, folder: str, buckets: int, chunk_words: int = CHUNK) -> DataFrame:
     """Write each chunk's file; a row for each chunk and bucket with the hashes of its n-grams there and their counts."""
-    schema = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
 
     def rows(chunk: Chunk, name: str) -> Iterator[pa.RecordBatch]:
         hashes, tokens, docs = chunk.close()
@@ -168,18 +175,12 @@ def ask(docs: DataFrame, folder: str, buckets: int, chunk_words: int = CHUNK) ->
         half = np.repeat(np.where(docs["held_out"] == 1, 2, docs["half"]), docs["n"])
         pair_hashes, numbers, _ = distinct_pairs(hashes, before, tokens)
         word_counts = halves(tokens, len(hashes), half)
-        start = np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(_START, 7)))
+        start = np.searchsorted(hashes, np.uint64(_START))
         first = np.where(docs["held_out"] == 1, 2, docs["half"])
         word_counts[start] = [(first == 0).sum(), (first == 1).sum()]
         pair_counts = halves(numbers, len(pair_hashes), half)
-        edges = np.arange(buckets + 1)
-        w = np.searchsorted(bucket_of(hashes, buckets), edges)
-        p = np.searchsorted(bucket_of(pair_hashes, buckets), edges)
-        for b in range(buckets):
-            if w[b] < w[b + 1] or p[b] < p[b + 1]:
-                mine, two = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
-                values = [name, b, pack_rising(hashes[mine]), pack(word_counts[mine]), pack_rising(pair_hashes[two]), pack(pair_counts[two])]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+        for values in _dealt(name, hashes, word_counts, pair_hashes, pair_counts, buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ASKED)], schema=_ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = file_system(folder)
@@ -200,25 +201,81 @@ def ask(docs: DataFrame, folder: str, buckets: int, chunk_words: int = CHUNK) ->
     return known.mapInArrow(run, _ROW)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    return pack(counts.astype("<u4" if counts.size == 0 or counts.max() < 1 << 32 else "<u8"))
+
+
+def _merged(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of all rows in order, each asked one's number among them, where rows begin, and the sums of counts."""
+    hashes = [unpack_rising(x) for x in table.column(f"{kind}s").to_pylist()]
+    keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    both = np.concatenate([_counts(x) for x in table.column(f"{kind}_counts").to_pylist()]).astype(np.float64)
+    sums = np.stack([np.bincount(inverse, both[:, k], len(keys)) for k in (0, 1)], axis=1).astype(np.uint64)
+    return keys, inverse, np.cumsum([0, *map(len, hashes)]), sums
+
+
+_ASKED = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
+
+
+def _dealt(name: str, words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, buckets: int) -> Iterator[list]:
+    """A row of _ASKED for each bucket that some of the hashes, which rise, fall in."""
+    wide, narrow = bucket_of(words, buckets), bucket_of(pairs, buckets)
+    some = np.union1d(wide, narrow)
+    w, p = (np.searchsorted(x, some) for x in (wide, narrow))
+    w_end, p_end = (np.searchsorted(x, some, side="right") for x in (wide, narrow))
+    for k, b in enumerate(some.tolist()):
+        mine, two = slice(w[k], w_end[k]), slice(p[k], p_end[k])
+        yield [name, b, pack_rising(words[mine]), _pack_counts(word_counts[mine]), pack_rising(pairs[two]), _pack_counts(pair_counts[two])]
+
+
+def levels(buckets: int, fan: int = FAN) -> list[int]:
+    """How many ranges each level has: powers of one number of at most ``fan``, the last at least ``buckets``."""
+    depth = 1
+    while fan**depth < buckets:
+        depth += 1
+    width = next(w for w in range(1, fan + 1) if w**depth >= buckets)
+    return [width ** (k + 1) for k in range(depth)]
+
+
+def exchange(asked: DataFrame, ranges: list[int]) -> DataFrame:
+    """(chunk, bucket, words, pairs) for rows that ask the first of ``ranges``: totals, as ``answer`` gives them on the last level."""
+    if len(ranges) == 1:
+        return answer(asked)
+    groups, below = -(-ranges[-1] // ranges[0]), ranges[1]
+    asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int")), "asked")
+    def merge(table: pa.Table) -> pa.Table:
+        name = f"{table.column('bucket')[0].as_py()}-{table.column('part')[0].as_py()}"
+        (words, _, _, word_counts), (pairs, _, _, pair_counts) = _merged(table, "word"), _merged(table, "pair")
+        return pa.Table.from_pylist([dict(zip(_ASKED.names, row)) for row in _dealt(name, words, word_counts, pairs, pair_counts, below)], schema=_ASKED)
+
+    answers = materialize(exchange(asked.groupBy("bucket", "part").applyInArrow(merge, _ROW), ranges[1:]), "answers")
+    place = F.split("chunk", "-")
+    told = collected(answers).select(place[0].cast("int").alias("bucket"), place[1].cast("int").alias("part"), F.col("words").alias("all_words"), F.col("pairs").alias("all_pairs"))
+
+    def deal(asked: pa.Table, told: pa.Table) -> pa.Table:
+        out = {"chunk": asked.column("chunk"), "bucket": asked.column("bucket")}
+        for kind in ("word", "pair"):
+            _, inverse, ask, _ = _merged(asked, kind)
+            sums = _counts(told.column(f"all_{kind}s")[0].as_py())
+            out[f"{kind}s"] = pa.array([_pack_counts(sums[inverse[i:j]]) for i, j in zip(ask, ask[1:])], pa.binary())
+        return pa.table(out)
+
+    back = asked.groupBy("bucket", "part").cogroup(told.groupBy("bucket", "part")).applyInArrow(deal, "chunk string, bucket int, words binary, pairs binary")
+    return back.unionByName(answers.filter("chunk = ''"))
+
+
 def answer(asked: DataFrame) -> DataFrame:
     """For each chunk and bucket the totals of the n-grams asked for; and for each bucket, with an empty chunk, its totals:
     words in either half, distinct words in training."""
-    ends = (xxhash.xxh64_intdigest(_START, 7),)
-
     def total(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         chunks = table.column("chunk").to_pylist()
         out = {"chunk": chunks + [""], "bucket": [bucket] * (len(chunks) + 1)}
         for kind in ("word", "pair"):
-            hashes = [unpack_rising(x) for x in table.column(f"{kind}s").to_pylist()]
-            counts = [unpack(x, "<u4").reshape(-1, 2) for x in table.column(f"{kind}_counts").to_pylist()]
-            keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            both = np.concatenate(counts).astype(np.float64)
-            sums = np.stack([np.bincount(inverse, both[:, k], len(keys)) for k in (0, 1)], axis=1).astype(np.uint64)
-            ask = np.cumsum([0, *map(len, hashes)])
-            told = [pack(sums[inverse[i:j]].astype("<u4" if sums.size == 0 or sums.max() < 1 << 32 else "<u8")) for i, j in zip(ask, ask[1:])]
+            keys, inverse, ask, sums = _merged(table, kind)
+            told = [_pack_counts(sums[inverse[i:j]]) for i, j in zip(ask, ask[1:])]
             if kind == "word":
-                word = ~np.isin(keys, np.array(ends, np.uint64))
+                word = keys != np.uint64(_START)
                 size = [*sums[word].sum(axis=0).tolist(), int((sums[word].sum(axis=1) > 0).sum())]
                 out["words"] = told + [struct.pack("<3Q", *size)]
             else:
@@ -315,7 +372,7 @@ def learn_weights(cells: list[tuple[int, float, float, float]], v: int, rounds:
     return out
 
 
-def text_scores(docs: DataFrame, *, chunk_words: int = CHUNK, per_bucket: int = PER_BUCKET) -> DataFrame:
+def text_scores(docs: DataFrame, *, chunk_words: int = CHUNK, per_bucket: int = PER_BUCKET, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Words are what stands between blank and tab to carriage return, lower-cased in A-Z; a text's end counts as a word, so a
@@ -325,8 +382,8 @@ def text_scores(docs: DataFrame, *, chunk_words: int = CHUNK, per_bucket: int =
     """
     spark = docs.sparkSession
     folder = scratch(spark, "chunks")
-    buckets = max(1, -(-text_bytes(docs) // per_bucket))
-    answers = materialize(answer(ask(docs.select("doc_id", "text"), folder, buckets, chunk_words)), "totals")
+    ranges = levels(max(1, -(-text_bytes(docs) // per_bucket)), fan)
+    answers = materialize(exchange(ask(docs.select("doc_id", "text"), folder, ranges[0], chunk_words), ranges), "totals")
     n_a, n_b, v = _sum_totals(answers.filter("chunk = ''").select("words"))
     chunks = materialize(collected(answers), "chunk-totals")
     cells = [tuple(r) for r in held_out_statistics(chunks, folder, [n_a, n_b], v).collect()]  # at most BUCKETS * 4096
