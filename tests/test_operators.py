@@ -93,8 +93,8 @@ def test_unit_events(spark, old, new, kinds):
     assert Counter(swap[r.kind] for r in back.collect()) == Counter(kinds)
 
 
-def evidence_of(spark, side, texts, risks=()):
-    return spark.createDataFrame([(1, k, f"{side}{k}", t, "body", ["scan"] if k in risks else []) for k, t in enumerate(texts)], "d int, ord int, occurrence_id string, text string, role string, risks array<string>")
+def evidence_of(spark, side, texts, risks=(), notes=()):
+    return spark.createDataFrame([(1, k, f"{side}{k}", t, "note" if k in notes else "body", ["scan"] if k in risks else []) for k, t in enumerate(texts)], "d int, ord int, occurrence_id string, text string, role string, risks array<string>")
 
 
 def test_evidence(spark):
@@ -107,6 +107,24 @@ def test_evidence(spark):
     assert got["deleted", "complete_empty_anchored_gap"] == 1
     got = kinds(long, [*long[:2], *long[3:]], risks=(2,))
     assert not got["deleted", "complete_empty_anchored_gap"] and got["unresolved", "scan"] == 1
+    # a unit that comes twice in all and once between anchors; anchors the other way round; an equal gap of repeats
+    got = kinds([long[0], "x", "again", "z", long[1], "again"], [long[0], "q", "again", "w", long[1], "again"], notes=(1,))
+    assert got["equal", "unique_literal_between_anchors"] == 1 and got["unresolved", "no_unique_correspondence_within_search_budget"] == 4
+    got = kinds([long[0], "x", long[1]], [long[1], "z", long[0]])
+    assert got == Counter({("unresolved", "source_order_or_ownership_unverified"): 2, ("unresolved", "no_unique_correspondence_within_search_budget"): 2})
+    assert kinds(["r", "r", long[0]], ["r", "r", "q", long[0]]) == Counter({("unresolved", "no_unique_correspondence_within_search_budget"): 5, ("equal", "unique_literal_span"): 1})
+    assert kinds(["r", "r", *["s"] * 9, long[0]], ["r", "r", *["s"] * 9, long[0]])["equal", "literal_in_anchored_gap"] >= 2
+
+
+def test_every_unit_is_in_one_relation(spark):
+    import random
+
+    r = random.Random(5)
+    texts = [f"sentence {k} that is long enough to be a span of its own" for k in range(6)] + ["a", "b", ""]
+    a, b = r.choices(texts, k=30), r.choices(texts, k=28)
+    got = evidence.align_evidence(evidence_of(spark, "o", a, (3, 9)), evidence_of(spark, "n", b), ["d"]).collect()
+    ids = Counter(i for x in got for i in [*x.old_ids, *x.new_ids])
+    assert ids == Counter([f"o{k}" for k in range(30)] + [f"n{k}" for k in range(28)])
 
 
 def test_tables(spark):

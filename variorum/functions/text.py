@@ -24,18 +24,18 @@ SENTENCE_VERB = (
 )
 NAMED_NUMBER = r"(?:^|[^\pL\pN_])[a-z]+[0-9]+(?:[-_/][a-z0-9]+)*(?:[^\pL\pN_]|$)"
 EMAIL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
 #: Words before or after which a number word names something and is no count.
-NAMING_BEFORE = frozenset("appendix build clause code codes figure gen generation id identifier model models part profile profiles rev revision serial section table type version versions".split())
-NAMING_AFTER = frozenset("csv dat doc docx html json pdf txt xls xlsx xml zip".split())
+NAMING_BEFORE = frozenset({"appendix", "build", "clause", "code", "codes", "figure", "gen", "generation", "id", "identifier", "model", "models", "part", "profile", "profiles", "rev", "revision", "serial", "section", "table", "type", "version", "versions"})
+NAMING_AFTER = frozenset({"csv", "dat", "doc", "docx", "html", "json", "pdf", "txt", "xls", "xlsx", "xml", "zip"})
 CHINESE_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
 CHINESE_UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10_000}
 CHINESE_MEASURES = "个位次条项章节页行列组字秒分时天年月层级步种类倍点"
 SUPERSCRIPTS, SUBSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₕᵢⱼₖₗₘₙₒₚᵣₛₜᵤᵥₓ"
 DASHES = "‐‑‒–—−"
-STOP_WORDS = frozenset("a an and are as at be by for from if in is it of on or shall that the this to was were will with".split())
+STOP_WORDS = frozenset({"a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "if", "in", "is", "it", "of", "on", "or", "shall", "that", "the", "this", "to", "was", "were", "will", "with"})
 MEASUREMENT = r"(?i)\b(?:voltage|current|resistance|impedance|frequency|rate|time|delay|width|length|height|angle|temperature|power|loss|gain|jitter|skew)\b|电压|电流|电阻|频率|时间|温度|功率"
 BLANKS = r"(?U)[\s\x00-\x1F\x7F]+"
 _NUMBER = re.compile(NUMBER)

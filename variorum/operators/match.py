@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from variorum.functions import similarity as S
 from variorum.functions import text as T
-from variorum.operators.assignment import Candidate, common_in_order, greedy_pairs, increasing_assignment, monotonic_pairs
-from variorum.operators.ordered import unique_only
+from variorum.operators.assignment import BASIS_RANK, Candidate, common_in_order, greedy_pairs, monotonic_pairs, rising_chain
+from variorum.operators.ordered import crossing, increasing, mutual_best, offset_support, unique_only, within_anchors
+from variorum.session import stored
 
 #: Thresholds of the stages.
 SECTION, TABLE, UNIT, NEAR = 0.72, 0.65, 0.45, 0.85
@@ -100,18 +101,35 @@ _MATCH = "old_ord long, new_ord long, score double, basis string"
 
 def solve(candidates: DataFrame, anchors: DataFrame, doc: list[str], *, least: float = SECTION) -> DataFrame:
     """doc, old_ord, new_ord, score, basis: the chosen pairs, and one-sided rows with basis ambiguous_order_conflict for
-    places whose best pairs cross. One group is one document pair; its candidates are bounded by blocking."""
+    places whose best pairs cross.
 
-    def run(key: tuple, found: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
-        pairs = [Candidate(*x) for x in zip(found.score, found.old_ord, found.new_ord, found.basis)]
-        chosen, blocked_old, blocked_new = increasing_assignment(pairs, list(zip(fixed.old_ord, fixed.new_ord)), least=least)
-        rows = [(*key, c.old, c.new, c.score, c.basis) for c in chosen]
-        rows += [(*key, o, None, None, "ambiguous_order_conflict") for o in sorted(blocked_old)] + [(*key, None, n, None, "ambiguous_order_conflict") for n in sorted(blocked_new)]
-        out = pd.DataFrame(rows, columns=[*doc, "old_ord", "new_ord", "score", "basis"])
-        return out.astype({"old_ord": "Int64", "new_ord": "Int64", "score": "float64"})
+    Anchors must rise, or their document has no result. Candidates lie between the same anchors on both sides; of a pair's,
+    the strongest proof counts, then the score. Pairs that are each other's only best and cross are reported and block
+    their places. Up to there all is joins and windows; the chain of the rest is solved for one document pair at a time.
+    """
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in BASIS_RANK.items() for x in kv]), F.col("basis")), F.lit(0))
+    finite = candidates.filter((F.col("score") > 0) & (F.col("score") < F.lit(float("inf"))))
+    finite = finite.join(increasing(anchors, doc, "old_ord", "new_ord").filter("not increasing").select(*doc), doc, "left_anti")
+    for c in ("old_ord", "new_ord"):
+        finite = finite.join(anchors.select(*doc, c), [*doc, c], "left_anti")
+    inside = within_anchors(finite, anchors, doc, "old_ord", "new_ord")
+    best = inside.groupBy(*doc, "old_ord", "new_ord").agg(F.max(F.struct(rank.alias("r"), "score", "basis")).alias("x")).select(*doc, "old_ord", "new_ord", "x.score", "x.basis")
+    best = stored(best, "candidates")
+    conflicts = crossing(mutual_best(best, doc, "old_ord", "new_ord", "score"), doc, "old_ord", "new_ord").filter("crosses")
+    conflicts = stored(conflicts.select(*doc, "old_ord", "new_ord"), "conflicts")
+    free = best
+    for c in ("old_ord", "new_ord"):
+        free = free.join(conflicts.select(*doc, c), [*doc, c], "left_anti")
+
+    def run(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        chosen = rising_chain([Candidate(*x) for x in zip(found.score, found.old_ord, found.new_ord, found.basis)], least)
+        return pd.DataFrame([(*key, c.old, c.new, c.score, c.basis) for c in chosen], columns=[*doc, "old_ord", "new_ord", "score", "basis"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*doc).schema)
-    return grouped(candidates, doc).cogroup(grouped(anchors, doc)).applyInPandas(run, f"{schema}, {_MATCH}")
+    chosen = free.select(*doc, "old_ord", "new_ord", "score", "basis").groupBy(*doc).applyInPandas(run, f"{schema}, {_MATCH}")
+    none, told = F.lit(None), F.lit("ambiguous_order_conflict").alias("basis")
+    one_sided = conflicts.select(*doc, F.col("old_ord").cast("long"), none.cast("long").alias("new_ord"), none.cast("double").alias("score"), told)
+    return chosen.unionByName(one_sided).unionByName(conflicts.select(*doc, none.cast("long").alias("old_ord"), F.col("new_ord").cast("long"), none.cast("double").alias("score"), told))
 
 
 def match_sections(old: DataFrame, new: DataFrame, doc: list[str], *, least: float = SECTION) -> DataFrame:
@@ -157,17 +175,20 @@ def structural_rescue(old: DataFrame, new: DataFrame, matched: DataFrame, doc: l
     return found.withColumn("basis", F.lit("structural_neighbours"))
 
 
-def trusted_parents(pairs: DataFrame, doc: list[str], *, most: int = 12) -> DataFrame:
+def trusted_parents(pairs: DataFrame, doc: list[str]) -> DataFrame:
     """Closure of trusted parent pairs from the root: pairs (old_path, new_path) whose parents are trusted in their turn.
 
-    pairs: doc, old_path, new_path (arrays of numbers). Depth bounds the rounds, since each adds one level.
+    pairs: doc, old_path, new_path (arrays of numbers). The deepest path bounds the rounds, since each adds one level; every
+    eighth is stored, so that plans stay small.
     """
     parent = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
     rows = pairs.select(*doc, "old_path", "new_path", parent(F.col("old_path")).alias("old_parent"), parent(F.col("new_path")).alias("new_parent"), F.size("old_path").alias("depth"))
     trusted = rows.filter((F.size("old_parent") == 0) & (F.size("new_parent") == 0))
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     last = trusted
-    for _ in range(min(most, deepest) - 1):
+    for k in range(1, deepest):
+        if k % 8 == 0:
+            trusted, last = stored(trusted, "trusted"), stored(last, "level")
         up = last.select(*doc, F.col("old_path").alias("old_parent"), F.col("new_path").alias("new_parent")).distinct()
         last = rows.join(up, [*doc, "old_parent", "new_parent"], "left_semi")
         trusted = trusted.unionByName(last)
