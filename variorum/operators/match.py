@@ -67,8 +67,10 @@ def shared_word_pairs(old: DataFrame, new: DataFrame, doc: list[str], order: str
 
     def words(rows: DataFrame, name: str) -> DataFrame:
         told = rows.select(*doc, F.col(order).alias(name), F.explode(F.array_distinct(T.meaningful_words(F.col(text)))).alias("word"))
-        few = told.groupBy(*doc, "word").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most)
-        return told.join(few.drop("_n"), [*doc, "word"], "left_semi")
+        # one shuffle: a word's rows are counted where they meet; what the window drops never goes further
+        number = F.row_number().over(Window.partitionBy(*doc, "word").orderBy(name))
+        first = told.withColumn("_r", number).filter(F.col("_r") <= most + 1)
+        return first.withColumn("_n", F.max("_r").over(Window.partitionBy(*doc, "word"))).filter(F.col("_n") <= most).drop("_r", "_n")
 
     return words(old, "old_ord").join(words(new, "new_ord"), [*doc, "word"]).groupBy(*doc, "old_ord", "new_ord").agg(F.count(F.lit(1)).alias("shared"))
 
@@ -132,19 +134,65 @@ def solve(candidates: DataFrame, anchors: DataFrame, doc: list[str], *, least: f
     return chosen.unionByName(one_sided).unionByName(conflicts.select(*doc, none.cast("long").alias("old_ord"), F.col("new_ord").cast("long"), none.cast("double").alias("score"), told))
 
 
-def match_sections(old: DataFrame, new: DataFrame, doc: list[str], *, least: float = SECTION) -> DataFrame:
+def with_parents(sections: DataFrame) -> DataFrame:
+    """sections with ``parent`` (the numbers above its own, joined) and ``ordinal`` (its last number, if it is one)."""
+    return sections.withColumns({"parent": F.array_join(F.slice("number_path", 1, F.greatest(F.size("number_path") - 1, F.lit(0))), "/"), "ordinal": F.regexp_extract(F.element_at("number_path", -1), r"(\d+)$", 1).try_cast("int")})
+
+
+def rescued(old: DataFrame, new: DataFrame, matched: DataFrame, doc: list[str], *, window: bool = False) -> DataFrame:
+    """Further pairs of sections that ``matched`` (pairs that keep order) leaves: doc, old_ord, new_ord, score, basis.
+
+    In turn, each on what is left: sections of one identity between matched neighbours; children moved by the one offset that
+    their siblings prove; children whose title comes once under matched parents; and, for a window of pages, related
+    titles with shared sentences. A pair must be the only one of both its sides and keep order with all before it.
+    """
+    a, b = stored(with_parents(old), "old-left"), stored(with_parents(new), "new-left")
+    held = matched.select(*doc, "old_ord", "new_ord")
+    found = None
+
+    def children(side: DataFrame, c: str) -> DataFrame:
+        return side.filter("parent <> ''").join(held.select(*doc, F.col(c).alias("ord")), [*doc, "ord"], "left_anti")
+
+    def parents() -> DataFrame:
+        both = held.join(a.select(*doc, F.col("ord").alias("old_ord"), F.col("number_path").alias("old_path"), F.col("parent").alias("old_parent"), F.col("ordinal").alias("o")), [*doc, "old_ord"])
+        return both.join(b.select(*doc, F.col("ord").alias("new_ord"), F.col("number_path").alias("new_path"), F.col("parent").alias("new_parent"), F.col("ordinal").alias("n")), [*doc, "new_ord"])
+
+    def mapped(both: DataFrame) -> DataFrame:
+        paths = both.filter("size(old_path) > 0 and size(new_path) > 0").select(*doc, F.array_join("old_path", "/").alias("old_parent"), F.array_join("new_path", "/").alias("new_parent")).distinct()
+        return unique_only(unique_only(paths, [*doc, "old_parent"]), [*doc, "new_parent"])
+
+    def shifted() -> DataFrame:
+        both = stored(parents(), "paired")
+        shifts = offset_support(both.filter("o is not null and n is not null"), [*doc, "old_parent"], "o", "n").select(*doc, "old_parent", "offset")
+        return shifted_children(children(a, "old_ord"), children(b, "new_ord"), mapped(both), shifts, doc)
+
+    stages = [("structural_neighbours", lambda: structural_rescue(a, b, held, doc).drop("basis")), ("numbering_shift", shifted), ("mapped_parent_child", lambda: mapped_parent_children(children(a, "old_ord"), children(b, "new_ord"), mapped(parents()), doc))]
+    if window:
+        left = lambda side, c: side.join(held.select(*doc, F.col(c).alias("ord")), [*doc, "ord"], "left_anti")
+        stages.append(("page_window", lambda: window_rescue(left(a, "old_ord"), left(b, "new_ord"), doc)))
+    for basis, stage in stages:
+        more = stage().select(*doc, F.col("old_ord").cast("long"), F.col("new_ord").cast("long")).distinct()
+        more = unique_only(unique_only(stored(more, "found"), [*doc, "old_ord"]), [*doc, "new_ord"])
+        for c in ("old_ord", "new_ord"):
+            more = more.join(held.select(*doc, c), [*doc, c], "left_anti")
+        more = within_anchors(more, held, doc, "old_ord", "new_ord")
+        more = stored(crossing(more, doc, "old_ord", "new_ord").filter("not crosses").select(*doc, "old_ord", "new_ord", F.lit(None).cast("double").alias("score"), F.lit(basis).alias("basis")), basis)
+        held = held.unionByName(more.select(*doc, "old_ord", "new_ord"))
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def match_sections(old: DataFrame, new: DataFrame, doc: list[str], *, least: float = SECTION, window: bool = False) -> DataFrame:
     """Every section of either side once: doc, old_ord, new_ord, score, basis.
 
     Stages, each on what is left: unique bodies that keep order, identity keys and unique leaves, similarity; conflicts of
-    order stay as review rows; the rest is one-sided. A threshold of 1 leaves out all that infers.
+    order stay as review rows; then ``rescued``; the rest is one-sided, and a child whose text its matched ancestor's
+    counterpart holds is ``folded_into_parent``. A threshold of 1 leaves out all that infers.
     """
     body = T.collapsed(F.lower("body"))
     anchors = unique_equal(old.withColumn("_body", body), new.withColumn("_body", body), doc, "_body", "ord", "ord")
-    w_old, w_new = Window.partitionBy(*doc).orderBy("old_ord"), Window.partitionBy(*doc).orderBy("new_ord")
     # of the anchors, those that no other crosses
-    up = F.max("new_ord").over(w_old.rowsBetween(Window.unboundedPreceding, -1))
-    down = F.min("new_ord").over(w_old.rowsBetween(1, Window.unboundedFollowing))
-    anchors = anchors.withColumn("moved", F.coalesce(up > F.col("new_ord"), F.lit(False)) | F.coalesce(down < F.col("new_ord"), F.lit(False)))
+    anchors = stored(crossing(anchors, doc, "old_ord", "new_ord").withColumnRenamed("crosses", "moved"), "anchors")
     fixed = anchors.filter("not moved").select(*doc, "old_ord", "new_ord")
     taken = anchors.select(*doc, "old_ord", "new_ord", F.lit(1.0).alias("score"), F.when(F.col("moved"), "unique_body_move_anchor").otherwise("unique_body_content_anchor").alias("basis"))
     left_old = old.join(taken.select(*doc, F.col("old_ord").alias("ord")), [*doc, "ord"], "left_anti")
@@ -152,14 +200,25 @@ def match_sections(old: DataFrame, new: DataFrame, doc: list[str], *, least: flo
     candidates = identity_candidates(left_old, left_new, doc, least=least).unionByName(leaf_candidates(left_old, left_new, doc))
     if least < 1:
         candidates = candidates.unionByName(similarity_candidates(left_old, left_new, doc, least=least))
-    solved = solve(candidates, fixed, doc, least=least)
+    solved = stored(solve(candidates, fixed, doc, least=least), "solved")
     done = taken.unionByName(solved)
-    only_old = old.select(*doc, F.col("ord").alias("old_ord")).join(done.filter("old_ord is not null").select(*doc, "old_ord"), [*doc, "old_ord"], "left_anti")
-    only_new = new.select(*doc, F.col("ord").alias("new_ord")).join(done.filter("new_ord is not null").select(*doc, "new_ord"), [*doc, "new_ord"], "left_anti")
+    if least < 1:
+        in_order = fixed.unionByName(solved.filter("old_ord is not null and new_ord is not null").select(*doc, "old_ord", "new_ord"))
+        open_old = old.join(solved.filter("new_ord is null").unionByName(taken).select(*doc, F.col("old_ord").alias("ord")), [*doc, "ord"], "left_anti").unionByName(old.join(fixed.select(*doc, F.col("old_ord").alias("ord")), [*doc, "ord"], "left_semi"))
+        open_new = new.join(solved.filter("old_ord is null").unionByName(taken).select(*doc, F.col("new_ord").alias("ord")), [*doc, "ord"], "left_anti").unionByName(new.join(fixed.select(*doc, F.col("new_ord").alias("ord")), [*doc, "ord"], "left_semi"))
+        done = done.unionByName(rescued(open_old, open_new, in_order, doc, window=window))
+    done = stored(done, "done")
     none = F.lit(None)
-    return done.unionByName(only_old.select(*doc, F.col("old_ord").cast("long"), none.cast("long").alias("new_ord"), none.cast("double").alias("score"), F.lit("only_old").alias("basis"))).unionByName(
-        only_new.select(*doc, none.cast("long").alias("old_ord"), F.col("new_ord").cast("long"), none.cast("double").alias("score"), F.lit("only_new").alias("basis"))
-    )
+    out = done
+    for side, mine, c, other in (("old", old, "old_ord", "new_ord"), ("new", new, "new_ord", "old_ord")):
+        only = mine.join(done.filter(F.col(c).isNotNull()).select(*doc, F.col(c).alias("ord")), [*doc, "ord"], "left_anti")
+        paired = done.filter("old_ord is not null and new_ord is not null").join(mine.select(*doc, F.col("ord").alias(c), "number_path"), [*doc, c]).join((new if side == "old" else old).select(*doc, F.col("ord").alias(other), F.col("body").alias("other_body")), [*doc, other])
+        folded = folded_into_parent(only, paired.filter("size(number_path) > 0"), doc).withColumn("_folded", F.lit(True))
+        rows = only.select(*doc, "ord").join(folded, [*doc, "ord"], "left")
+        basis = F.when(F.col("_folded"), "folded_into_parent").otherwise(f"only_{side}").alias("basis")
+        ends = {c: F.col("ord").cast("long").alias(c), other: none.cast("long").alias(other)}
+        out = out.unionByName(rows.select(*doc, ends["old_ord"], ends["new_ord"], none.cast("double").alias("score"), basis))
+    return out
 
 
 def structural_rescue(old: DataFrame, new: DataFrame, matched: DataFrame, doc: list[str]) -> DataFrame:

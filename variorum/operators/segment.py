@@ -163,7 +163,7 @@ def sentences(c: Column) -> Column:
     between digits. Signs that end sentences stay with them."""
     marked = F.regexp_replace(c, r"([。！？；;!?])\s*", "$1\u0001")
     marked = F.regexp_replace(marked, r"(?<!(?:^|\s)(?:\d{1,3}|[A-Za-z]))(?<!\u0001)\.\s+", ".\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def units(rows: DataFrame, group: list[str], order: list[str], *, text: str = "text", most: int = 720, exact_keys: bool = True) -> DataFrame:

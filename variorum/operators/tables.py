@@ -34,7 +34,68 @@ def text_tables(lines: DataFrame, doc: list[str], order: list[str], *, line: str
     told = lines.withColumn("_bar", F.col(line).rlike(r"\S\s+\|\s+\S"))
     told = told.withColumn("_start", F.when(F.col("_bar") & ~F.coalesce(F.lag("_bar").over(w), F.lit(False)), 1).otherwise(0)).withColumn("table_no", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = told.filter("_bar").withColumn("row_no", F.row_number().over(Window.partitionBy(*doc, "table_no").orderBy(*order)) - 1)
-    return rows.select(*doc, "table_no", "row_no", F.transform(F.split(line, r"\s+\|\s+"), F.trim).alias("cells"))
+    return rows.select(*doc, "table_no", "row_no", F.transform(F.split(line, r"\s+\|\s+"), lambda x: F.trim(x)).alias("cells"))
+
+
+def captioned_tables(lines: DataFrame, doc: list[str], *, line: str = "line") -> tuple[DataFrame, DataFrame]:
+    """(tables, rows) of pipe-separated text in lines (doc, page_no, line_no): doc, table_id, ord, page_no, caption, schema; and
+    doc, table_id, row_no, cells.
+
+    The caption is the line right above, or the last line of the page before, where that reads like one. A table that goes on
+    with caption and schema on the same or next page is one with the last, and its repeated header is no row.
+    """
+    order = ["page_no", "line_no"]
+    w = Window.partitionBy(*doc).orderBy(*order)
+    bar, named = F.col(line).rlike(r"\S\s+\|\s+\S"), F.col(line).rlike(r"(?i)^(?:table|表)\s*[A-Z]?\d")
+    told = lines.withColumns({"_bar": bar, "_named": F.when(named, F.col(line))})
+    # a run of rows may go over a page's end; a caption between two parts it
+    told = told.withColumn("_above", F.lag("_named").over(w))
+    told = told.withColumn("_start", F.when(bar & (~F.coalesce(F.lag("_bar").over(w), F.lit(False)) | (F.coalesce(F.lag("page_no").over(w), F.lit(-1)) != F.col("page_no"))), 1).otherwise(0))
+    told = told.withColumn("ord", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_bar")
+    cells = F.transform(F.split(line, r"\s+\|\s+"), lambda x: F.trim(x))
+    parts = told.groupBy(*doc, "ord").agg(F.min("page_no").alias("page_no"), F.min_by(F.col("_above"), F.struct(*order)).alias("caption"), F.min_by(F.array_join(cells, "|"), F.struct(*order)).alias("schema"), F.min(F.struct(*order)).alias("_head"))
+    before = Window.partitionBy(*doc).orderBy("ord")
+    again = F.coalesce((F.lag("schema").over(before) == F.col("schema")) & (F.col("page_no") - F.lag("page_no").over(before)).between(0, 1), F.lit(False))
+    parts = parts.withColumn("caption", F.when(F.col("caption").isNull() & again, F.lag("caption").over(before)).otherwise(F.coalesce("caption", F.lit(""))))
+    parts = continuations(parts.withColumn("caption", F.coalesce("caption", F.lit(""))), doc)
+    first = Window.partitionBy(*doc, "run").orderBy("ord")
+    parts = parts.withColumn("table_id", F.concat(F.lit("t"), F.col("run"))).withColumn("_part", F.row_number().over(first))
+    rows = told.select(*doc, "ord", *order, cells.alias("cells")).join(parts.select(*doc, "ord", "table_id", "_part", "_head"), [*doc, "ord"])
+    rows = rows.filter((F.col("_part") == 1) | (F.struct(*order) != F.col("_head")))
+    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(*doc, "table_id").orderBy(*order)) - 1)
+    return parts.filter("_part = 1").select(*doc, "table_id", "ord", "page_no", "caption", "schema"), rows.select(*doc, "table_id", "row_no", "cells")
+
+
+def keyed_rows(rows: DataFrame, table: list[str]) -> DataFrame:
+    """Data rows as pairing and differences ask for them: table, row_no, fields, identity, display, values."""
+    told = labelled_rows(expanded_rows(rows).drop("part"), table)
+    return told.select(*table, "row_no", "fields", row_identity(F.col("fields")).alias("identity"), row_display(F.col("fields")).alias("display"), F.transform("fields", lambda x: x["value"]).alias("values"))
+
+
+def compare_tables(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], doc: list[str], *, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(changes, rows) of the tables of both sides: each table once with change_type; each row of paired tables with its kind.
+
+    Where order counts and rows that both have come in another order, an unchanged pair is for review.
+    """
+    (a, ra), (b, rb) = old, new
+    ka, kb = stored(keyed_rows(ra, [*doc, "table_id"]), "old-rows"), stored(keyed_rows(rb, [*doc, "table_id"]), "new-rows")
+    pairs = stored(pair_tables(a, b, ka, kb, doc, least=least), "table-pairs")
+    both = pairs.filter("old_table is not null and new_table is not null").select(*doc, "old_table", "new_table")
+    table = [*doc, "old_table", "new_table"]
+    side = lambda rows, name: rows.withColumnRenamed("table_id", name).join(both, [*doc, name])
+    pa, pb = side(ka, "old_table"), side(kb, "new_table")
+    rows = stored(row_differences(pa, pb, table), "row-differences")
+    moved = row_order_changed(pa, pb, table).join(order_matters(pa, table).filter("ordered"), table, "left_semi").withColumn("_moved", F.lit(True))
+    changes = table_changes(pairs, rows, doc).join(moved, table, "left")
+    kind = F.when(F.col("_moved") & (F.col("change_type") == "unchanged"), "review").otherwise(F.col("change_type"))
+    changes = changes.withColumn("change_type", kind).withColumn("order_changed", F.coalesce("_moved", F.lit(False))).drop("_moved")
+    captions = [t.select(*doc, F.col("table_id").alias(f"{s}_table"), F.col("caption").alias(f"{s}_caption"), F.col("page_no").alias(f"{s}_page")) for s, t in (("old", a), ("new", b))]
+    return changes.join(captions[0], [*doc, "old_table"], "left").join(captions[1], [*doc, "new_table"], "left"), rows
+
+
+def ordered_table_changes(changes: DataFrame) -> DataFrame:
+    """By page on the new side, or the old one, then table."""
+    return changes.orderBy(F.coalesce("new_page", "old_page"), F.coalesce("new_table", "old_table"))
 
 
 def labelled_rows(rows: DataFrame, table: list[str]) -> DataFrame:

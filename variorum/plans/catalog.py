@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import similarity as S
 from variorum.functions import text as T
-from variorum.operators import bags, delta, evaluate, evidence, match, ordered, quality, segment, tables
+from variorum.operators import bags, delta, evaluate, evidence, geometry, match, ordered, quality, segment, tables
 from variorum.plans import compare
 from variorum.plans.options import Options
 from variorum.sources import readers
@@ -46,10 +46,14 @@ ua AS (SELECT doc_id, line, min(ord) AS old_ord FROM old_lines WHERE length(line
 ub AS (SELECT doc_id, line, min(ord) AS new_ord FROM new_lines WHERE length(line) >= 50 GROUP BY ALL HAVING count(*) = 1),
 anchors AS (SELECT doc_id, old_ord, new_ord FROM ua JOIN ub USING (doc_id, line))
 """
-_PAIRS = f"""{_LINES},
-pairs AS (SELECT a.doc_id, a.ord AS old_ord, b.ord AS new_ord, a.line AS old_line, b.line AS new_line,
-                 round(2.0 * least(length(a.line), length(b.line)) / (length(a.line) + length(b.line)), 6) AS score
-          FROM old_lines a JOIN new_lines b ON a.doc_id = b.doc_id AND left(a.line, 12) = left(b.line, 12))
+_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]+[a-z0-9]*(?:[-_/][a-z0-9]+)*')), lambda x: NOT list_contains(" + str(sorted(T.STOP_WORDS)) + ", x))"
+_SHARED = f"""{_LINES}, a AS (SELECT doc_id, ord AS old_ord, unnest({_WORDS.format('line')}) AS w FROM old_lines), b AS (SELECT doc_id, ord AS new_ord, unnest({_WORDS.format('line')}) AS w FROM new_lines),
+fa AS (SELECT doc_id, w FROM a GROUP BY ALL HAVING count(*) <= 32), fb AS (SELECT doc_id, w FROM b GROUP BY ALL HAVING count(*) <= 32),
+shared AS (SELECT doc_id, old_ord, new_ord, count(*) AS shared FROM a SEMI JOIN fa USING (doc_id, w) JOIN (SELECT * FROM b SEMI JOIN fb USING (doc_id, w)) b USING (doc_id, w) GROUP BY ALL)
+"""
+_PAIRS = f"""{_SHARED},
+pairs AS (SELECT doc_id, old_ord, new_ord, o.line AS old_line, n.line AS new_line, round(2.0 * least(length(o.line), length(n.line)) / (length(o.line) + length(n.line)), 6) AS score
+          FROM shared JOIN (SELECT doc_id, ord AS old_ord, line FROM old_lines) o USING (doc_id, old_ord) JOIN (SELECT doc_id, ord AS new_ord, line FROM new_lines) n USING (doc_id, new_ord))
 """
 
 
@@ -71,8 +75,8 @@ def revision_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     old = rows.select("doc_id", "source", (F.col("k") * 2).cast("long").alias("ord"), "line")
     place = F.col("doc_id") + F.col("k")
     kept = rows.filter(place % 7 != 0)
-    last = kept.groupBy("doc_id").agg(F.max("k").alias("_last"))
-    edited = kept.join(last, "doc_id").withColumn("line", F.when(place % 5 == 0, F.replace("line", F.lit(" the "), F.lit(" a "))).otherwise(F.col("line")))
+    last = F.max("k").over(Window.partitionBy("doc_id"))
+    edited = kept.withColumn("_last", last).withColumn("line", F.when(place % 5 == 0, F.replace("line", F.lit(" the "), F.lit(" a "))).otherwise(F.col("line")))
     edited = edited.withColumn("ord", F.when((F.col("doc_id") % 13 == 0) & (F.col("k") == F.col("_last")), -2).otherwise(F.col("k") * 2).cast("long"))
     copies = F.when(place % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     new = edited.withColumn("_c", F.explode(copies)).select("doc_id", "source", (F.col("ord") + F.col("_c")).alias("ord"), "line")
@@ -83,11 +87,13 @@ def line_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.bag_compare(*revision_lines(spark, sf_dir), ["doc_id", "source", "line"])
 
 
-def prefix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a document's two sides that share a word which at most 32 lines of either side have, with their length bound."""
     old, new = revision_lines(spark, sf_dir)
-    a = old.select("doc_id", F.left("line", F.lit(12)).alias("_p"), F.col("ord").alias("old_ord"), F.col("line").alias("old_line"))
-    b = new.select("doc_id", F.left("line", F.lit(12)).alias("_p"), F.col("ord").alias("new_ord"), F.col("line").alias("new_line"))
-    return a.join(b, ["doc_id", "_p"]).drop("_p").withColumn("score", F.round(S.length_bound(F.col("old_line"), F.col("new_line")), 6))
+    shared = match.shared_word_pairs(old, new, ["doc_id"], "ord", "line").drop("shared")
+    a = old.select("doc_id", F.col("ord").alias("old_ord"), F.col("line").alias("old_line"))
+    b = new.select("doc_id", F.col("ord").alias("new_ord"), F.col("line").alias("new_line"))
+    return shared.join(a, ["doc_id", "old_ord"]).join(b, ["doc_id", "new_ord"]).withColumn("score", F.round(S.length_bound(F.col("old_line"), F.col("new_line")), 6))
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,37 +163,36 @@ def within_anchors(spark, sf_dir):
     return ordered.within_anchors(candidates, anchors(spark, sf_dir), ["doc_id"], "old_ord", "new_ord")
 
 
-@query("mutual_best_length", f"""WITH {_PAIRS}, a AS (SELECT *, max(score) OVER (PARTITION BY doc_id, old_ord) AS bo, max(score) OVER (PARTITION BY doc_id, new_ord) AS bn FROM pairs),
-  co AS (SELECT doc_id, old_ord FROM a WHERE score = bo GROUP BY ALL HAVING count(*) = 1), cn AS (SELECT doc_id, new_ord FROM a WHERE score = bn GROUP BY ALL HAVING count(*) = 1)
-  SELECT a.doc_id, a.old_ord, a.new_ord, score FROM a JOIN co USING (doc_id, old_ord) JOIN cn USING (doc_id, new_ord) WHERE score = bo AND score = bn""")
+@query("mutual_best_length", f"""WITH {_PAIRS}, m AS (SELECT *, max(score) OVER (PARTITION BY doc_id, old_ord) AS bo, max(score) OVER (PARTITION BY doc_id, new_ord) AS bn FROM pairs),
+  co AS (SELECT doc_id, old_ord FROM m WHERE score = bo GROUP BY ALL HAVING count(*) = 1), cn AS (SELECT doc_id, new_ord FROM m WHERE score = bn GROUP BY ALL HAVING count(*) = 1)
+  SELECT m.doc_id, m.old_ord, m.new_ord, score FROM m JOIN co USING (doc_id, old_ord) JOIN cn USING (doc_id, new_ord) WHERE score = bo AND score = bn""")
 def mutual_best_length(spark, sf_dir):
-    return ordered.mutual_best(prefix_pairs(spark, sf_dir), ["doc_id"], "old_ord", "new_ord", "score").select("doc_id", "old_ord", "new_ord", "score")
+    return ordered.mutual_best(line_pairs(spark, sf_dir), ["doc_id"], "old_ord", "new_ord", "score").select("doc_id", "old_ord", "new_ord", "score")
 
 
 @query("length_bound_pruning", f"WITH {_PAIRS} SELECT doc_id, count(*) AS pairs, count(*) FILTER (score >= 0.72) AS kept FROM pairs GROUP BY doc_id")
 def length_bound_pruning(spark, sf_dir):
-    return prefix_pairs(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("score") >= 0.72).alias("kept"))
+    return line_pairs(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("score") >= 0.72).alias("kept"))
 
 
-@query("character_bag_similarity", f"""WITH {_PAIRS}, p AS (SELECT doc_id, old_ord, new_ord, old_line, new_line FROM pairs WHERE length(old_line) <= 60 AND length(new_line) <= 60),
-  x AS (SELECT doc_id, old_ord, new_ord, c, count(*) AS n FROM (SELECT doc_id, old_ord, new_ord, unnest(string_split(old_line, '')) AS c FROM p) GROUP BY ALL),
-  y AS (SELECT doc_id, old_ord, new_ord, c, count(*) AS m FROM (SELECT doc_id, old_ord, new_ord, unnest(string_split(new_line, '')) AS c FROM p) GROUP BY ALL),
-  s AS (SELECT doc_id, old_ord, new_ord, sum(least(n, m)) AS s FROM x JOIN y USING (doc_id, old_ord, new_ord, c) GROUP BY ALL)
-  SELECT doc_id, old_ord, new_ord, round(2.0 * s / (length(old_line) + length(new_line)), 6) AS bound FROM p JOIN s USING (doc_id, old_ord, new_ord)""")
+@query("character_bag_similarity", f"""WITH {_PAIRS}, p AS (SELECT doc_id, old_ord, new_ord, old_line, new_line FROM pairs WHERE score >= 0.72),
+  x AS (SELECT doc_id, old_ord, c, count(*) AS n FROM (SELECT doc_id, ord AS old_ord, unnest(string_split(line, '')) AS c FROM old_lines) GROUP BY ALL),
+  y AS (SELECT doc_id, new_ord, c, count(*) AS m FROM (SELECT doc_id, ord AS new_ord, unnest(string_split(line, '')) AS c FROM new_lines) GROUP BY ALL),
+  s AS (SELECT doc_id, old_ord, new_ord, sum(least(n, m)) AS s FROM p JOIN x USING (doc_id, old_ord) JOIN y USING (doc_id, new_ord, c) GROUP BY ALL)
+  SELECT doc_id, old_ord, new_ord, round(2.0 * coalesce(s, 0) / (length(old_line) + length(new_line)), 6) AS bound FROM p LEFT JOIN s USING (doc_id, old_ord, new_ord)""")
 def character_bag_similarity(spark, sf_dir):
-    short = prefix_pairs(spark, sf_dir).filter((F.length("old_line") <= 60) & (F.length("new_line") <= 60))
-    return short.select("doc_id", "old_ord", "new_ord", F.round(S.character_bound(F.col("old_line"), F.col("new_line")), 6).alias("bound"))
-
-
-_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]+[a-z0-9]*(?:[-_/][a-z0-9]+)*')), lambda x: NOT list_contains(" + str(sorted(T.STOP_WORDS)) + ", x))"
+    near = line_pairs(spark, sf_dir).filter("score >= 0.72").select("doc_id", "old_ord", "new_ord", (F.length("old_line") + F.length("new_line")).alias("total"))
+    old, new = revision_lines(spark, sf_dir)
+    # characters are counted once for each line, not for each pair
+    a = old.select("doc_id", F.col("ord").alias("old_ord"), S.character_counts_udf("line").alias("a"))
+    b = new.select("doc_id", F.col("ord").alias("new_ord"), S.character_counts_udf("line").alias("b"))
+    both = near.join(a, ["doc_id", "old_ord"]).join(b, ["doc_id", "new_ord"])
+    return both.select("doc_id", "old_ord", "new_ord", F.round(2.0 * S.bag_overlap(F.col("a"), F.col("b")) / F.col("total"), 6).alias("bound"))
 
 
-@query("token_blocking_candidates", f"""WITH {_LINES}, a AS (SELECT doc_id, ord AS old_ord, unnest({_WORDS.format('line')}) AS w FROM old_lines), b AS (SELECT doc_id, ord AS new_ord, unnest({_WORDS.format('line')}) AS w FROM new_lines),
-  fa AS (SELECT doc_id, w FROM a GROUP BY ALL HAVING count(*) <= 2), fb AS (SELECT doc_id, w FROM b GROUP BY ALL HAVING count(*) <= 2)
-  SELECT doc_id, old_ord, new_ord, count(*) AS shared FROM a SEMI JOIN fa USING (doc_id, w) JOIN (SELECT * FROM b SEMI JOIN fb USING (doc_id, w)) b USING (doc_id, w) GROUP BY ALL HAVING count(*) >= 3""")
+@query("token_blocking_candidates", f"WITH {_SHARED} SELECT doc_id, old_ord, new_ord, shared FROM shared")
 def token_blocking_candidates(spark, sf_dir):
-    old, new = revision_lines(spark, sf_dir)
-    return match.shared_word_pairs(old, new, ["doc_id"], "ord", "line", most=2).filter("shared >= 3")
+    return match.shared_word_pairs(*revision_lines(spark, sf_dir), ["doc_id"], "ord", "line")
 
 
 @query("jaccard_tokens", f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)
@@ -352,12 +357,12 @@ def email_neutralise(spark, sf_dir):
     return docs.select("doc_id", F.sha2(T.neutral_emails(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
-@query("span_ngrams", """WITH c AS (SELECT conv_id, turn, left(text, 30) AS key FROM conversations), s AS (
+@query("span_ngrams", """WITH c AS (SELECT conv_id, turn, text AS key FROM conversations), s AS (
   SELECT conv_id, key AS t, 1 AS n FROM c UNION ALL SELECT a.conv_id, a.key || ' ' || b.key, 2 FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
   UNION ALL SELECT a.conv_id, a.key || ' ' || b.key || ' ' || d.key, 3 FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 JOIN c d ON a.conv_id = d.conv_id AND d.turn = a.turn + 2)
   SELECT conv_id, n, count(*) AS spans, sum(length(t))::BIGINT AS characters FROM s WHERE n = 1 OR length(t) >= 40 GROUP BY ALL""")
 def span_ngrams(spark, sf_dir):
-    turns = readers.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(30)).alias("key"))
+    turns = readers.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("key"))
     return segment.spans(turns, ["conv_id"], "turn", most=3).groupBy("conv_id", "n").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.length("text")).alias("characters"))
 
 
@@ -383,10 +388,10 @@ def benchmark_location(spark, sf_dir):
     return delta.locate_snippets(items, docs, ["g"]).select(F.col("snippet_id").alias("item_id"), "page_no")
 
 
-@query("recursive_parent_closure", """WITH RECURSIVE p AS (SELECT o_orderkey::VARCHAR AS k FROM orders WHERE o_orderkey % 4 <> 3),
+@query("recursive_parent_closure", """WITH RECURSIVE p AS (SELECT o_orderkey::VARCHAR AS k FROM orders),
   t AS (SELECT k FROM p WHERE length(k) = 1 UNION SELECT p.k FROM p JOIN t ON length(p.k) = length(t.k) + 1 AND left(p.k, length(t.k)) = t.k) SELECT k FROM t""")
 def recursive_parent_closure(spark, sf_dir):
-    keys = readers.table(spark, sf_dir, "orders").filter("o_orderkey % 4 <> 3").select(F.lit(0).alias("g"), F.split(F.col("o_orderkey").cast("string"), "").alias("old_path")).distinct()
+    keys = readers.table(spark, sf_dir, "orders").select(F.lit(0).alias("g"), F.split(F.col("o_orderkey").cast("string"), "").alias("old_path")).distinct()
     keys = keys.withColumn("old_path", F.filter("old_path", lambda x: x != "")).withColumn("new_path", F.col("old_path"))
     return match.trusted_parents(keys, ["g"]).select(F.array_join("old_path", "").alias("k"))
 
@@ -430,6 +435,102 @@ def streaming_window_counts(spark, sf_dir):
     return streams.windowed_counts(rows).select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
+_PARTS = """p AS (SELECT p_brand, p_partkey AS k, p_name || ' ' || p_partkey AS name, p_size FROM part),
+o AS (SELECT p_brand, k, lower(name) AS identity, p_size AS v FROM p WHERE k % 11 <> 0), n AS (SELECT p_brand, k, lower(name) AS identity, CASE WHEN k % 10 = 0 THEN p_size + 100 ELSE p_size END AS v FROM p WHERE k % 7 <> 0)"""
+
+
+def part_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of two revisions of a catalogue: a captioned table for each brand, two pages each; the new one lacks some rows,
+    has some more, and other sizes."""
+    part = readers.table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"), "p_size")
+
+    def lines(rows: DataFrame, size) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("p_brand").orderBy("k"))
+        body = rows.select("p_brand", (n % 2 + 1).alias("page_no"), (F.col("k") + 2).alias("line_no"), F.concat_ws(" | ", "name", size.cast("string")).alias("line"))
+        brands = rows.select("p_brand").distinct()
+        at = lambda page, n, text: F.struct(F.lit(page).alias("page_no"), F.lit(n).alias("line_no"), text.alias("line"))
+    head = brands.select("p_brand", F.explode(F.array(at(1, 0, F.concat(F.lit("Table 1 Sizes of "), "p_brand")), at(1, 1, F.lit("Name | Size")), at(2, 1, F.lit("Name | Size")))).alias("x"))
+        return head.select("p_brand", "x.*").unionByName(body)
+
+    return lines(part.filter("k % 11 <> 0"), F.col("p_size")), lines(part.filter("k % 7 <> 0"), F.when(F.col("k") % 10 == 0, F.col("p_size") + 100).otherwise(F.col("p_size")))
+
+
+def part_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old, new = part_pages(spark, sf_dir)
+    return tables.compare_tables(tables.captioned_tables(old, ["p_brand"]), tables.captioned_tables(new, ["p_brand"]), ["p_brand"])
+
+
+@query("table_changes", f"""WITH {_PARTS}, x AS (SELECT coalesce(o.p_brand, n.p_brand) AS p_brand, o.v IS DISTINCT FROM n.v AS c FROM o FULL JOIN n USING (p_brand, identity))
+  SELECT p_brand, 'same_caption' AS basis, CASE WHEN sum(c::INT) > 0 THEN 'modified' ELSE 'unchanged' END AS change_type, sum(c::INT)::BIGINT AS changed_rows FROM x GROUP BY p_brand""")
+def table_changes(spark, sf_dir):
+    return part_tables(spark, sf_dir)[0].select("p_brand", "basis", "change_type", "changed_rows")
+
+
+@query("table_row_kinds", f"""WITH {_PARTS} SELECT coalesce(o.p_brand, n.p_brand) AS p_brand, identity, CASE WHEN n.v IS NULL THEN 'row_deleted' WHEN o.v IS NULL THEN 'row_added' WHEN o.v = n.v THEN 'unchanged' ELSE 'value_changed' END AS kind
+  FROM o FULL JOIN n USING (p_brand, identity)""")
+def table_row_kinds(spark, sf_dir):
+    return part_tables(spark, sf_dir)[1].select("p_brand", "identity", "kind")
+
+
+_PLACES = f"""{_LINES}, w AS (SELECT doc_id, k, (k // 3 + 1)::INT AS page_no FROM norm WHERE line <> ''), pg AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM w GROUP BY doc_id)"""
+
+
+def word_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents with places, three lines to a page: page numbers outside (every third document), line numbers in
+    the gutter (every fourth), a slanted mark over the first page (every fifth)."""
+    rows = segment.lines(readers.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.select("doc_id", F.col("line_no").alias("k"), (F.floor(F.col("line_no") / 3) + 1).cast("int").alias("page_no"), "line")
+    box = lambda text, x0, top, size=10.0, angle=0.0: F.struct(text.alias("text"), x0.cast("double").alias("x0"), top.cast("double").alias("top"), (x0 + size * 3).cast("double").alias("x1"), (top + size).cast("double").alias("bottom"), F.lit(size).alias("size"), F.lit(angle).alias("angle"))
+    line = 100 + 20 * (F.col("k") % 3)
+    body = rows.select("doc_id", "page_no", "k", F.posexplode(F.split("line", " ")).alias("j", "word"))
+    body = body.select("doc_id", "page_no", box(F.col("word"), 80 + 40 * (F.col("j") % 11), line + 60 * (F.floor(F.col("j") / 11) % 8)).alias("b"))
+    numbers = rows.filter("doc_id % 4 = 0").select("doc_id", "page_no", box((F.col("k") % 3 + 1).cast("string"), F.lit(20), line).alias("b"))
+    pages = rows.select("doc_id", "page_no").distinct()
+    folios = pages.filter("doc_id % 3 = 0").select("doc_id", "page_no", box((F.col("page_no") + 4).cast("string"), F.when(F.col("page_no") % 2 == 1, 500).otherwise(50), F.lit(770)).alias("b"))
+    marks = pages.filter("doc_id % 5 = 0 and page_no = 1").select("doc_id", "page_no", F.explode(F.array(box(F.lit("NOT"), F.lit(100), F.lit(500), 60.0, 45.0), box(F.lit("FINAL"), F.lit(300), F.lit(300), 60.0, 45.0))).alias("b"))
+    words = body.unionByName(numbers).unionByName(folios).unionByName(marks).select("doc_id", "page_no", "b.*")
+    return words.withColumns({"page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+
+
+@query("folio_runs", f"""WITH {_PLACES}, r AS (SELECT doc_id, page_no, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i FROM (SELECT DISTINCT doc_id, page_no FROM w)),
+  l AS (SELECT doc_id, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS n FROM r GROUP BY doc_id, i QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(page_no) DESC) = 1)
+  SELECT doc_id, 4 AS "offset", first_page, last_page, pg.n AS pages, 'alternating' AS side_rule FROM pg JOIN l USING (doc_id) WHERE doc_id % 3 = 0 AND pg.n >= 3 AND l.n >= 3""")
+def folio_runs(spark, sf_dir):
+    return geometry.folio_runs(word_places(spark, sf_dir), ["doc_id"])
+
+
+@query("line_number_gutters", f"""WITH {_PLACES}, f AS (SELECT doc_id, page_no FROM w WHERE doc_id % 4 = 0 GROUP BY ALL HAVING count(*) = 3)
+  SELECT doc_id, 8 AS "column", count(*) AS pages, 3 * count(*)::BIGINT AS numbers FROM f JOIN pg USING (doc_id) GROUP BY doc_id, n HAVING count(*) >= 3 AND count(*) >= 0.8 * n""")
+def line_number_gutters(spark, sf_dir):
+    return geometry.line_number_gutters(word_places(spark, sf_dir), ["doc_id"])
+
+
+@query("watermark_groups", f"""WITH {_PLACES} SELECT doc_id, 1 AS page_no, 45 AS angle, 'NOT FINAL' AS text, 2::BIGINT AS words FROM w WHERE doc_id % 5 = 0 AND page_no = 1
+  AND doc_id IN (SELECT doc_id FROM norm WHERE line <> '' AND k < 3 GROUP BY doc_id HAVING sum(len(string_split(line, ' '))) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN count(*) ELSE 0 END >= 2) GROUP BY doc_id""")
+def watermark_groups(spark, sf_dir):
+    return geometry.watermarks(word_places(spark, sf_dir), ["doc_id", "page_no"])
+
+
+@query("visual_noise_lines", f"WITH {_LINES} SELECT doc_id, count(*) AS noise FROM old_lines WHERE regexp_matches(line, '{geometry.NOISE}') GROUP BY doc_id")
+def visual_noise_lines(spark, sf_dir):
+    old, _ = revision_lines(spark, sf_dir)
+    return old.filter(geometry.visual_noise(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("noise"))
+
+
+@query("image_coverage", """WITH b AS (SELECT o_custkey, o_orderkey % 10 AS x, o_orderkey % 7 AS y FROM orders), c AS (SELECT DISTINCT o_custkey, i, j FROM b, range(3) r(i0), range(2) s(j0), LATERAL (SELECT x + i0 AS i, y + j0 AS j) WHERE x + i0 < 10 AND y + j0 < 8)
+  SELECT o_custkey, round(count(*) / 80.0, 6) AS covered FROM c GROUP BY o_custkey""")
+def image_coverage(spark, sf_dir):
+    x, y = F.col("o_orderkey") % 10, F.col("o_orderkey") % 7
+    boxes = readers.table(spark, sf_dir, "orders").select("o_custkey", x.cast("double").alias("x0"), (x + 3).cast("double").alias("x1"), y.cast("double").alias("top"), (y + 2).cast("double").alias("bottom"), F.lit(10.0).alias("page_width"), F.lit(8.0).alias("page_height"))
+    return geometry.covered_share(boxes, ["o_custkey"]).select("o_custkey", F.round("covered", 6).alias("covered"))
+
+
+@query("reordered_texts", """WITH a AS (SELECT p_partkey, p_name AS o, list_aggregate(list_reverse(string_split(p_name, ' ')), 'string_agg', ' ') AS n FROM part) SELECT p_partkey FROM a WHERE o <> n""")
+def reordered_texts(spark, sf_dir):
+    rows = readers.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("o"), F.array_join(F.reverse(F.split("p_name", " ")), " ").alias("n"))
+    return rows.filter(delta.reorder_only(F.col("o"), F.col("n"))).select("p_partkey")
+
+
 # --- what SQL can't express
 
 
@@ -446,7 +547,7 @@ def review_unit_key(spark, sf_dir):
 
 @query("exact_ratio")
 def exact_ratio(spark, sf_dir):
-    pairs = prefix_pairs(spark, sf_dir).filter("score >= 0.72")
+    pairs = line_pairs(spark, sf_dir).filter("score >= 0.72")
     return pairs.select("doc_id", "old_ord", "new_ord", S.bounded_ratio_udf("old_line", "new_line", F.lit(0.72)).alias("ratio"))
 
 
@@ -462,7 +563,7 @@ def ordered_occurrences(spark, sf_dir):
 
 @query("monotonic_assignment")
 def monotonic_assignment(spark, sf_dir):
-    pairs = prefix_pairs(spark, sf_dir).select("doc_id", "old_ord", "new_ord", F.col("score").cast("double"), F.lit("similarity_fallback").alias("basis"))
+    pairs = line_pairs(spark, sf_dir).select("doc_id", "old_ord", "new_ord", F.col("score").cast("double"), F.lit("similarity_fallback").alias("basis"))
     none = pairs.select("doc_id", "old_ord", "new_ord").limit(0)
     return match.solve(pairs, none, ["doc_id"])
 
@@ -497,5 +598,5 @@ def section_changes(spark, sf_dir):
 
 @query("inline_diff_spans")
 def inline_diff_spans(spark, sf_dir):
-    pairs = ordered.mutual_best(prefix_pairs(spark, sf_dir), ["doc_id"], "old_ord", "new_ord", "score").filter("old_line <> new_line")
+    pairs = ordered.mutual_best(line_pairs(spark, sf_dir), ["doc_id"], "old_ord", "new_ord", "score").filter("old_line <> new_line")
     return pairs.select("doc_id", "old_ord", "new_ord", delta.inline_marks_udf("old_line", "new_line").alias("marks"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variorum.functions import text as T
-from variorum.operators import delta, match, quality, segment
+from variorum.operators import delta, match, quality, segment, tables
 from variorum.plans.options import Options
 from variorum.session import stored
 
@@ -22,7 +22,8 @@ from variorum.session import stored
 @dataclass(frozen=True)
 class Comparison:
     """identical: pairs taken out; sections of both sides (column side); matches; changes (audit); view (for readers);
-    counts; assessment; events: units with display flags, made when first asked for."""
+    counts; assessment; table_changes, table_rows: tables of both sides and the rows of paired ones, each with the section
+    that holds it; events: units with display flags. Tables and events are made when first asked for."""
 
     identical: DataFrame
     sections: DataFrame
@@ -32,13 +33,26 @@ class Comparison:
     counts: DataFrame
     assessment: DataFrame
     unit_events: Callable[[], DataFrame]
+    made_tables: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        return self.made_tables()
+
+    @property
+    def table_changes(self) -> DataFrame:
+        return self._tables[0]
+
+    @property
+    def table_rows(self) -> DataFrame:
+        return self._tables[1]
 
     @cached_property
     def events(self) -> DataFrame:
         return self.unit_events()
 
     def tables(self) -> dict[str, DataFrame]:
-        names = ("identical", "sections", "matches", "changes", "view", "counts", "assessment", "events")
+        names = ("identical", "sections", "matches", "changes", "view", "counts", "assessment", "events", "table_changes", "table_rows")
         return {name: getattr(self, name) for name in names}
 
 
@@ -57,7 +71,8 @@ def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = O
     sides = rest_old.select(*doc, "page_no", "text", F.lit("old").alias("side")).unionByName(rest_new.select(*doc, "page_no", "text", F.lit("new").alias("side")))
     both = stored(sections_of(sides, [*doc, "side"], options), "sections")
     a, b = both.filter("side = 'old'").drop("side"), both.filter("side = 'new'").drop("side")
-    matches = stored(match.match_sections(a, b, doc, least=options.section_similarity), "matches")
+    windows = [x is not None and x > 1 for x in (options.old_start_page, options.new_start_page)]
+    matches = stored(match.match_sections(a, b, doc, least=options.section_similarity, window=any(windows)), "matches")
     pairs = matches.filter("old_ord is not null and new_ord is not null").select(*doc, "old_ord", "new_ord")
     group = [*doc, "old_ord", "new_ord"]
 
@@ -72,6 +87,16 @@ def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = O
         unit_pairs = match.pair_units(old_units, new_units, group, least=options.unit_similarity)
         return delta.top_snippets(delta.unit_events(old_units, new_units, unit_pairs, group).filter("kind <> 'unchanged'"), group, options.snippets)
 
+    def table_results() -> tuple[DataFrame, DataFrame]:
+        rows = segment.lines(sides.select(*doc, "side", "page_no", F.col("text")), keep=[*doc, "side", "page_no"])
+        found, cells = (stored(x, name) for x, name in zip(tables.captioned_tables(rows, [*doc, "side"]), ("tables", "cells")))
+        one = lambda side: tuple(x.filter(F.col("side") == side).drop("side") for x in (found, cells))
+        told, row_kinds = tables.compare_tables(one("old"), one("new"), doc, least=options.table_similarity)
+        # the section around a table, on the side where it stands
+        told = told.withColumn("page_no", F.coalesce("new_page", "old_page"))
+        held = match.containing_section(told.filter("new_table is not null"), b, doc).unionByName(match.containing_section(told.filter("new_table is null"), a, doc))
+        return held.withColumnRenamed("ord", "section_ord").drop("page_no"), row_kinds
+
     complete = lambda pages, sections: sections.select(*doc, "ord").withColumn("whole", F.lit(True)) if "layout_risk" not in pages.columns else match.containing_section(
         pages.select(*doc, "page_no", F.coalesce("layout_risk", F.lit(False)).alias("_r")), sections, doc
     ).groupBy(*doc, "ord").agg((~F.bool_or("_r")).alias("whole"))
@@ -80,12 +105,13 @@ def compare(old: DataFrame, new: DataFrame, doc: list[str], options: Options = O
     proven = match.absence(only_old, pairs.select(*doc, F.col("old_ord").alias("ord"), F.col("new_ord").alias("other")), complete(rest_new, b), doc).withColumn("side", F.lit("old"))
     proven = proven.unionByName(match.absence(only_new, pairs.select(*doc, F.col("new_ord").alias("ord"), F.col("old_ord").alias("other")), complete(rest_old, a), doc).withColumn("side", F.lit("new")))
     changes = delta.section_changes(a, b, matches, doc, proven=proven, general=options.general)
+    changes = delta.boundary_prelude(changes, both, doc, old_window=windows[0], new_window=windows[1])
     if not options.include_unchanged:
         changes = changes.filter("change_type <> 'unchanged'")
     metrics = lambda pages, sections: quality.document_metrics(pages, doc).join(quality.section_metrics(sections, doc), doc, "left")
     assessment = quality.pair_assessment(metrics(rest_old, a), metrics(rest_new, b), doc, pairing=quality.pairing_counts(matches, doc))
     assessment = assessment.unionByName(identical.select(*doc, F.lit("reliable").alias("state"), F.array().cast("array<string>").alias("reasons")))
-    return Comparison(identical, both, matches, changes, delta.reader_view(changes), quality.change_counts(changes, doc), assessment, events)
+    return Comparison(identical, both, matches, changes, delta.reader_view(changes), quality.change_counts(changes, doc), assessment, events, table_results)
 
 
 def run_comparison(spark: SparkSession, old_path: str, new_path: str, out: str, options: Options = Options(), doc: list[str] | None = None) -> Comparison:
