@@ -106,6 +106,16 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 4 << 2
             start = stop
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers outlive the stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import documents, hash_sample, is_held_out, slices
+from variorum.llm._shared import documents, hash_sample, is_held_out, slices, tidy
 
 #: Bytes of a chunk, of its step; bytes between two places of a filter.
 CHUNK, STEP, STRIDE = 256, 192, 4
@@ -232,6 +232,8 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             score = np.asarray(model.score([(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]))
             yield batch.filter(pa.array(score >= THRESHOLD))
+            del batch
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 

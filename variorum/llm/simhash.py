@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import documents, join_unique, materialize, slices
+from variorum.llm._shared import documents, join_unique, materialize, slices, tidy
 from variorum.llm.components import components
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 2, 42
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(x, words) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], schema=schema)
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(compute, "doc_id long, fp long")
@@ -194,6 +195,7 @@ def ball_links(fps: DataFrame, n: int, *, per_prefix: int = VARIANTS_PER_PREFIX,
             fp = table.column("fp").to_numpy().view(np.uint64)
             root = meet(fp, table.column("left").to_numpy().astype(np.int64), bits, radius)
             moved = np.flatnonzero(root != np.arange(len(fp)))
+            tidy()
             return pa.table({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
 
         return run

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import join_unique, keep_listed, materialize, slices, text_keys
+from variorum.llm._shared import join_unique, keep_listed, materialize, slices, text_keys, tidy
 from variorum.llm.components import components
-from variorum.llm.simhash import RADIUS, STAGE_SIMILARITY, STAGE_WORDS, _majority, fingerprint_roots, shingle_hashes
+from variorum.llm.simhash import RADIUS, STAGE_SIMILARITY, STAGE_WORDS, _majority, ball_links, shingle_hashes
 
 #: What two similar texts share of one's shingles among those kept first.
 SHARE = 0.1
@@ -60,11 +60,13 @@ def shingle_sets(texts: DataFrame, words: int, similarity: float | None) -> Data
                 taken.append(found.view(np.int64))
             hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, taken)]), pa.int32()), pa.array(np.concatenate(taken)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), hashes], schema=schema)
+            del batch, hashes, taken
+        tidy()
 
     return texts.select(*names, "text").mapInArrow(compute, ", ".join(f"{c} long" for c in [*names, "fp", "n"]) + ", hashes array<long>")
 
 
-def candidates(rows: DataFrame, roots: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def candidates(rows: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(num, fp, root, n, hashes, kept, shared, own): texts that may be similar to one of another root, all their hashes, the
     rarest of those that texts of other roots have, and the numbers of those and of what no other text has. rows: num, k1, k2, n and first hashes of each row."""
     least = lambda n: F.ceil(F.lit(similarity) * n - F.lit(1e-9))
@@ -73,7 +75,7 @@ def candidates(rows: DataFrame, roots: DataFrame, docs: DataFrame, words: int, s
     told = dealt.join(met, "h").groupBy("num", "n").agg(F.count(F.lit(1)).alias("c"))
     active = told.filter(F.col("c") >= F.ceil(F.lit(SHARE) * least(F.col("n")) - F.lit(1e-9))).select("num")
     active = rows.select("num", "k1", "k2", "fp").join(active, "num").groupBy("k1", "k2", "fp").agg(F.min("num").alias("num"), F.count(F.lit(1)).alias("copies"))
-    active = materialize(active.join(roots.select("fp", "root"), "fp").select("num", "k1", "k2", "root", "copies"), "active")
+    active = materialize(active.select("num", "k1", "k2", F.col("fp").alias("root"), "copies"), "active")
     found = docs.select(*text_keys(F.col("text")), F.coalesce("text", F.lit("")).alias("text")).join(active, ["k1", "k2"])
     # a text that one row has needs no grouping
     one, more = found.filter("copies = 1"), found.filter("copies > 1").dropDuplicates(["num"])
@@ -93,8 +95,8 @@ def overlaps(index: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("x", "y", "nx", "ny", "rx", "ry", F.size(F.array_intersect("hx", "hy")).alias("o"))
 
 
-def similar_roots(index: DataFrame, similarity: float) -> DataFrame:
-    """(root, least): roots of ``candidates`` that similar texts join, with the least root that each comes to."""
+def similar_roots(index: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(fp, root): fingerprints that links (a, b) and similar texts of ``candidates`` join, with the least of their component."""
     alike = F.col("o") >= (F.col("nx") + F.col("ny")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
     as_long = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - F.lit(1e-6)
 
@@ -107,7 +109,7 @@ def similar_roots(index: DataFrame, similarity: float) -> DataFrame:
     pivots = materialize(pivots.select("h", F.col("p.num").alias("pivot"), F.col("p.n").alias("m")), "pivots")
     star = met.join(pivots, "h").filter((F.col("num") != F.col("pivot")) & as_long).select(F.col("num").alias("x"), F.col("pivot").alias("y")).distinct()
     star = materialize(overlaps(index, star), "star")
-    first = links(star)
+    first = materialize(linked.unionByName(links(star)), "first-links")
 
     moved = components(first, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("_least"))
     now = met.join(moved, "root", "left").withColumn("root", F.coalesce("_least", "root")).drop("_least")
@@ -124,7 +126,7 @@ def similar_roots(index: DataFrame, similarity: float) -> DataFrame:
     enough = F.least("after", "others_after") >= (F.col("n") + F.col("m")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
     pairs = live.join(other, "h").filter((F.col("root") < F.col("other")) & as_long & enough & near).select(F.col("num").alias("x"), "y").distinct()
     found = materialize(first.unionByName(links(overlaps(index, materialize(pairs, "pairs")))), "links")
-    return components(found, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return components(found, "a", "b").withColumnRenamed("node", "fp")
 
 
 def near_components(docs: DataFrame, *, words: int = STAGE_WORDS, radius: int = RADIUS, similarity: float = STAGE_SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -133,10 +135,9 @@ def near_components(docs: DataFrame, *, words: int = STAGE_WORDS, radius: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), text.alias("text"))
     rows = materialize(shingle_sets(texts, words, similarity).withColumn("num", F.monotonically_increasing_id()), "shingles")
     nodes = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "nodes")
-    rooted = nodes.join(fingerprint_roots(nodes, radius=radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted, "roots")
-    further = similar_roots(candidates(rows, rooted, docs, words, similarity), similarity)
-    rooted = materialize(rooted.join(further, "root", "left").select("fp", "copies", F.coalesce("least", "root").alias("root")), "components")
+    linked = materialize(ball_links(nodes.select("fp"), nodes.count(), radius=radius), "balls")
+    roots = similar_roots(candidates(rows, docs, words, similarity), linked, similarity)
+    rooted = materialize(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "components")
     return rows.select("doc_id", "k1", "k2", "fp"), rooted
 
 
