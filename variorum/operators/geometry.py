@@ -16,7 +16,7 @@ from variorum.operators.ordered import runs
 #: Fixed values of the proofs: least share of pages, least pages, spread of baselines and edges as shares of the page.
 COVERAGE, LEAST_PAGES, SPREAD, GUTTER_COVERAGE, MARGIN = 0.8, 3, 0.006, 0.8, 0.12
 #: What marks debris of figures, axes and formulas: only numbers and signs, one letter, dotted leaders, axis units.
-NOISE = r"^(?:[\d\s.,%+−-]{1,24}|\p{L}|[.·…_\-–—\s]{3,}|[()\[\]{}=+*/^∑∫√<>|]+|\(?(?:GHz|MHz|kHz|Hz|dB|ns|ps|mV|V|mA|A|UI|mm)\)?)$"
+NOISE = r"^(?:[\d\s.,%+−-]{1,24}|\p{L}|[.·…_\-–—\s]{3,}|[()\[\]{}=+*/^∑∫√<>|\s]+|\(?(?:GHz|MHz|kHz|Hz|dB|ns|ps|mV|V|mA|A|UI|mm)\)?)$"
 
 
 def valid_words(words: DataFrame) -> tuple[DataFrame, DataFrame]:
