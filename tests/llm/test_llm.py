@@ -468,6 +468,17 @@ def test_languages(spark, odd, empty):
     assert x > 0.9
 
 
+def test_out_of_place_distance_by_hand():
+    known = {"aa": "abra kadabra", "bb": "simsalabim sesam"}
+    ranked = {k: language.ranking(*language.ngram_counts(t), 12).tolist() for k, t in known.items()}
+    identifier = language.Identifier({k: np.array(v, np.int64) for k, v in ranked.items()}, 12)
+    for text in ("abra", "sesam", "bim bam", "x"):
+        own = language.ranking(*language.ngram_counts(text), 12).tolist()
+        distance = {k: sum(abs(v.index(g) - i) if g in v else 12 for i, g in enumerate(own)) for k, v in ranked.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert identifier.identify(text) == (best, 1 - distance[best] / (12 * len(own)))
+
+
 def test_profiles_against_counting():
     text = "Abba, abä! ab12"
     keys, n = language.ngram_counts(text)
