@@ -531,6 +531,37 @@ def reordered_texts(spark, sf_dir):
     return rows.filter(delta.reorder_only(F.col("o"), F.col("n"))).select("p_partkey")
 
 
+_CLAUSES = """c AS (SELECT n_regionkey AS r, n_name AS title, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation UNION ALL SELECT r_regionkey, r_name, 0 FROM region),
+  s AS (SELECT *, row_number() OVER (ORDER BY r, n) - 1 AS ord FROM c)"""
+
+
+@query("rescued_sections", f"""WITH {_CLAUSES} SELECT ord AS old_ord, ord AS new_ord, CASE WHEN n = 4 THEN 'mapped_parent_child' ELSE 'numbering_shift' END AS basis FROM s WHERE n > 2""")
+def rescued_sections(spark, sf_dir):
+    """Regions as clauses and nations as theirs; the new side numbers regions one higher, their nations one higher too, but the
+    fourth five higher. Regions and their first two nations are matched; the others are to be found."""
+    nation, region = readers.table(spark, sf_dir, "nation"), readers.table(spark, sf_dir, "region")
+    rank = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    clauses = nation.select(F.col("n_regionkey").alias("r"), F.col("n_name").alias("title"), rank.alias("n")).unionByName(region.select(F.col("r_regionkey").alias("r"), F.col("r_name").alias("title"), F.lit(0).alias("n")))
+    clauses = clauses.withColumn("ord", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("r", "n")) - 1).cast("long"))  # 30 rows
+
+    def side(first: int, moved) -> DataFrame:
+        path = F.when(F.col("n") == 0, F.array((F.col("r") + first).cast("string"))).otherwise(F.array((F.col("r") + first).cast("string"), moved.cast("string")))
+        told = clauses.select(F.lit(0).alias("g"), "ord", path.alias("number_path"), "title", F.when(F.col("n") == 0, 1).otherwise(2).alias("level"), F.lower("title").alias("body"), F.array("title").alias("heading_path"))
+        return told.withColumn("identity_key", F.concat_ws("/", "number_path"))
+
+    held = clauses.filter("n <= 2").select(F.lit(0).alias("g"), F.col("ord").alias("old_ord"), F.col("ord").alias("new_ord"))
+    found = match.rescued(side(1, F.col("n")), side(2, F.col("n") + F.when(F.col("n") == 4, 5).otherwise(1)), held, ["g"])
+    return found.select("old_ord", "new_ord", "basis")
+
+
+@query("evidence_conservation", f"""WITH {_LINES} SELECT doc_id, sum(o)::BIGINT AS old_units, sum(n)::BIGINT AS new_units, sum(o) + sum(n) = sum(o + n) AS once FROM (SELECT doc_id, 1 AS o, 0 AS n FROM old_lines UNION ALL SELECT doc_id, 0, 1 FROM new_lines) GROUP BY doc_id""")
+def evidence_conservation(spark, sf_dir):
+    """Whatever the alignment finds, each occurrence is in exactly one relation."""
+    found = evidence_relations(spark, sf_dir).select("doc_id", F.explode(F.concat(F.transform("old_ids", lambda x: F.struct(F.lit("old").alias("side"), x.alias("id"))), F.transform("new_ids", lambda x: F.struct(F.lit("new").alias("side"), x.alias("id"))))).alias("x"))
+    each = found.groupBy("doc_id", "x.side", "x.id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("doc_id").agg(F.count_if(F.col("side") == "old").alias("old_units"), F.count_if(F.col("side") == "new").alias("new_units"), (F.max("n") == 1).alias("once"))
+
+
 # --- what SQL can't express
 
 
@@ -568,8 +599,7 @@ def monotonic_assignment(spark, sf_dir):
     return match.solve(pairs, none, ["doc_id"])
 
 
-@query("evidence_alignment")
-def evidence_alignment(spark, sf_dir):
+def evidence_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = revision_lines(spark, sf_dir)
     docs = lambda x, side: x.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).select(
         "doc_id", F.col("_n").alias("ord"), F.concat_ws(":", F.lit(side), "doc_id", "_n").alias("occurrence_id"), F.col("line").alias("text"), F.lit("body").alias("role"), F.array().cast("array<string>").alias("risks")
@@ -577,6 +607,11 @@ def evidence_alignment(spark, sf_dir):
     return evidence.align_evidence(docs(old, "old"), docs(new, "new"), ["doc_id"])
 
 
+@query("evidence_alignment")
+def evidence_alignment(spark, sf_dir):
+    return evidence_relations(spark, sf_dir)
+
+
 def revision_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages of 40 lines with a numbered heading before every tenth line."""
 
