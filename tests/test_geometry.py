@@ -98,6 +98,24 @@ def test_each_rescue(spark):
     assert got == {(1, 1): "structural_neighbours", (6, 6): "numbering_shift", (7, 7): "mapped_parent_child"}
 
 
+def test_sections_that_blocking_passes_over(spark):
+    """Forty sections of common words; one moved by twenty places and edited: no rare word and no near place leads to it."""
+    r = random.Random(7)
+    common = [f"word{c}" for c in "abcdefghij"]
+    body = lambda: " ".join(r.choices(common, k=40))
+    rows = [(k, str(k + 1), f"Title {common[k % 10]}", body()) for k in range(40)]
+    kept = rows[:10] + rows[30:]
+    moved = rows[5][3].split()
+    moved[3] = "wordj"
+    new = [(k, str(60 + k), t, b) for k, (_, _, t, b) in enumerate([*rows[30:], (0, "", rows[5][2], " ".join(moved))])]
+    got = match.match_sections(sections(spark, rows[:1] + [rows[5]]), sections(spark, new), ["d"]).collect()
+    assert any(x.old_ord == 5 and x.new_ord == len(new) - 1 for x in got) and len(kept) == 20
+    lengths = lambda x: [(o, len(b)) for o, _, _, b in x]
+    short = [(k, str(k), "t", "x" * n) for k, n in enumerate((0, 1, 2, 3, 5, 8, 13, 21, 34, 55, 90, 91))]
+    pairs = {(x.old_ord, x.new_ord) for x in match.length_pairs(sections(spark, short), sections(spark, short), ["d"], 0.72).collect()}
+    assert pairs == {(i, j) for i, a in lengths(short) for j, b in lengths(short) if 2 * min(a, b) >= 0.72 * (a + b)}
+
+
 def test_folded_children_are_not_gone(spark):
     text = "The parent's own text that is long enough to be the only one of its kind here."
     old = sections(spark, [(0, "1", "par", text), (1, ["1", "1"], "kid", "what the child says")])

@@ -6,6 +6,8 @@ generated code before the exact score in Arrow batches. The assignment itself ru
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,9 +89,24 @@ def blocked_pairs(old: DataFrame, new: DataFrame, doc: list[str], order: str, te
     return both.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= kept).drop("_r")
 
 
-def similarity_candidates(old: DataFrame, new: DataFrame, doc: list[str], *, least: float = SECTION) -> DataFrame:
-    """Sections that are similar by title, location and body; the cheap bounds prune in generated code."""
-    pairs = blocked_pairs(old, new, doc, "ord", "body")
+def length_pairs(old: DataFrame, new: DataFrame, doc: list[str], least: float) -> DataFrame:
+    """Pairs (doc, old_ord, new_ord) whose bodies' lengths allow a ratio of ``least``: no other pair can have it. Lengths are dealt to
+    classes so that such pairs are in one class or in neighbouring ones."""
+    step = 1 / max(least / (2 - least), 1e-3)
+    length = F.length(S.section_sample(F.col("body")))
+    of = F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(max(1e-6, math.log(step))))
+    a = old.select(*doc, F.col("ord").alias("old_ord"), length.alias("_a"), F.explode(F.sequence(of - 1, of + 1)).alias("_class"))
+    b = new.select(*doc, F.col("ord").alias("new_ord"), length.alias("_b"), of.alias("_class"))
+    met = a.join(b, [*doc, "_class"])
+    return met.filter(2.0 * F.least("_a", "_b") >= least * (F.col("_a") + F.col("_b"))).select(*doc, "old_ord", "new_ord")
+
+
+def similarity_candidates(old: DataFrame, new: DataFrame, doc: list[str], *, least: float = SECTION, every: bool = False) -> DataFrame:
+    """Sections that are similar by title, location and body; the cheap bounds prune in generated code.
+
+    Pairs are those that blocking finds, or with ``every`` all whose lengths allow it: for what the first pass leaves.
+    """
+    pairs = length_pairs(old, new, doc, least) if every else blocked_pairs(old, new, doc, "ord", "body")
     a = old.select(*doc, F.col("ord").alias("old_ord"), F.lower("title").alias("old_title"), F.lower(F.concat_ws(" / ", "heading_path")).alias("old_place"), F.lower(S.section_sample(F.col("body"))).alias("old_body"))
     b = new.select(*doc, F.col("ord").alias("new_ord"), F.lower("title").alias("new_title"), F.lower(F.concat_ws(" / ", "heading_path")).alias("new_place"), F.lower(S.section_sample(F.col("body"))).alias("new_body"))
     full = pairs.join(a, [*doc, "old_ord"]).join(b, [*doc, "new_ord"]).filter(S.length_bound(F.col("old_body"), F.col("new_body")) >= least)
@@ -201,6 +218,11 @@ def match_sections(old: DataFrame, new: DataFrame, doc: list[str], *, least: flo
     if least < 1:
         candidates = candidates.unionByName(similarity_candidates(left_old, left_new, doc, least=least))
     solved = stored(solve(candidates, fixed, doc, least=least), "solved")
+    if least < 1:
+        # blocking may have passed over a pair: what is left of both sides is compared without it
+        sure = fixed.unionByName(solved.filter("old_ord is not null and new_ord is not null").select(*doc, "old_ord", "new_ord"))
+        rest = [stored(x.join(solved.select(*doc, F.col(c).alias("ord")), [*doc, "ord"], "left_anti"), "rest") for x, c in ((left_old, "old_ord"), (left_new, "new_ord"))]
+        solved = stored(solved.unionByName(solve(similarity_candidates(*rest, doc, least=least, every=True), sure, doc, least=least)), "solved-again")
     done = taken.unionByName(solved)
     if least < 1:
         in_order = fixed.unionByName(solved.filter("old_ord is not null and new_ord is not null").select(*doc, "old_ord", "new_ord"))
