@@ -31,6 +31,7 @@ NOT_HEADINGS = (
 )
 CONTENTS = r"(?i)^(?:table of contents|contents|list of (?:figures|tables)|目录|图目录|表目录)$"
 TABLE_ROW = r"^(?:表格行|表格文字|Table row)[:：]"
+#: The deepest number that a heading shape allows has six parts; a part or annex above it makes it one deeper.
 MAX_LEVEL = 8
 
 
