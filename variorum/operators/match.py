@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from variorum.functions import similarity as S
 from variorum.functions import text as T
 from variorum.operators.assignment import BASIS_RANK, Candidate, common_in_order, greedy_pairs, monotonic_pairs, rising_chain
+from variorum.operators.identity import identity_similarity_udf
 from variorum.operators.ordered import crossing, increasing, mutual_best, offset_support, unique_only, within_anchors
+from variorum.operators.segment import sentences
 from variorum.session import stored
 
 #: Thresholds of the stages.
@@ -45,12 +47,11 @@ def unique_equal(old: DataFrame, new: DataFrame, doc: list[str], key: str, old_i
 
 
 def identity_candidates(old: DataFrame, new: DataFrame, doc: list[str], *, least: float = SECTION) -> DataFrame:
-    """Sections with one identity key and similar bodies: doc, old_ord, new_ord, score, basis."""
-    a = unique_only(old, [*doc, "identity_key"]).select(*doc, "identity_key", F.col("ord").alias("old_ord"), S.section_sample(F.col("body")).alias("old_body"))
-    b = unique_only(new, [*doc, "identity_key"]).select(*doc, "identity_key", F.col("ord").alias("new_ord"), S.section_sample(F.col("body")).alias("new_body"))
-    pairs = a.join(b, [*doc, "identity_key"])
-    pairs = pairs.filter(S.length_bound(F.col("old_body"), F.col("new_body")) >= least)
-    scored = pairs.withColumn("score", S.bounded_ratio_udf(F.lower("old_body"), F.lower("new_body"), F.lit(least)))
+    """Sections with one identity key whose bodies, unit by unit, don't speak against it: doc, old_ord, new_ord, score, basis."""
+    side = lambda rows, name: unique_only(rows, [*doc, "identity_key"]).select(*doc, "identity_key", F.col("ord").alias(f"{name}_ord"), F.coalesce("body", F.lit("")).alias(f"{name}_body"))
+    pairs = side(old, "old").join(side(new, "new"), [*doc, "identity_key"])
+    units = lambda c: sentences(F.col(c))
+    scored = pairs.withColumn("score", identity_similarity_udf("old_body", "new_body", units("old_body"), units("new_body")))
     return scored.filter(F.col("score") >= least).select(*doc, "old_ord", "new_ord", "score", F.lit("similarity_exact").alias("basis"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from variorum.functions import similarity as S
 from variorum.functions import text as T
+from variorum.operators import captions
 from variorum.operators.bags import dice_similarity
 from variorum.operators.ordered import continuation_runs, crossing, mutual_best, offset_support, unique_only
 from variorum.session import stored
@@ -89,8 +90,20 @@ def compare_tables(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataF
     changes = table_changes(pairs, rows, doc).join(moved, table, "left")
     kind = F.when(F.col("_moved") & (F.col("change_type") == "unchanged"), "review").otherwise(F.col("change_type"))
     changes = changes.withColumn("change_type", kind).withColumn("order_changed", F.coalesce("_moved", F.lit(False))).drop("_moved")
-    captions = [t.select(*doc, F.col("table_id").alias(f"{s}_table"), F.col("caption").alias(f"{s}_caption"), F.col("page_no").alias(f"{s}_page")) for s, t in (("old", a), ("new", b))]
-    return changes.join(captions[0], [*doc, "old_table"], "left").join(captions[1], [*doc, "new_table"], "left"), rows
+    changes = parted(changes, a, b, doc)
+    named = [t.select(*doc, F.col("table_id").alias(f"{s}_table"), F.col("caption").alias(f"{s}_caption"), F.col("page_no").alias(f"{s}_page")) for s, t in (("old", a), ("new", b))]
+    return changes.join(named[0], [*doc, "old_table"], "left").join(named[1], [*doc, "new_table"], "left"), rows
+
+
+def parted(changes: DataFrame, old: DataFrame, new: DataFrame, doc: list[str]) -> DataFrame:
+    """changes where one-sided tables whose captions share a core with some of the other side, as parts of one table may, are
+    for review and neither added nor deleted."""
+    alone = lambda rows, name, other: rows.join(changes.filter(F.col(other).isNull()).select(*doc, F.col(name).alias("table_id")), [*doc, "table_id"], "left_semi")
+    groups = stored(captions.core_groups(alone(old, "old_table", "new_table"), alone(new, "new_table", "old_table"), doc), "caption-cores")
+    for name in ("old_table", "new_table"):
+        changes = changes.join(groups.select(*doc, F.explode(f"{name}s").alias(name), F.lit(True).alias(f"_{name}")), [*doc, name], "left")
+    part = F.coalesce("_old_table", "_new_table", F.lit(False))
+    return changes.withColumns({"change_type": F.when(part, "review").otherwise(F.col("change_type")), "basis": F.when(part, "caption_core").otherwise(F.col("basis"))}).drop("_old_table", "_new_table")
 
 
 def ordered_table_changes(changes: DataFrame) -> DataFrame:
@@ -146,7 +159,8 @@ def pair_tables(old: DataFrame, new: DataFrame, old_rows: DataFrame, new_rows: D
     """Every table of either side once: doc, old_table, new_table, score, basis.
 
     Stages on what is left: captions that come once; descriptors that come once, where two or more in a family prove one
-    shift of the numbers; similar captions and rows, each the other's only best and not crossing another; conflicts are for
+    shift of the numbers; repeated captions in the longest common order of their contents and descriptors of a family that
+    became another (where tables have a place ``ord`` and rows a ``row_no``); similar captions and rows, each the other's only best and not crossing another; conflicts are for
     review; the rest is one-sided. Row bags meet through equal row identities, so no pair without a shared row is made.
     """
     caption = lambda rows, name: rows.select(*doc, F.col("table_id").alias(name), F.lower(T.collapsed(F.col("caption"))).alias("caption"), T.caption_descriptor(F.col("caption")).alias("descriptor"), T.caption_family(F.col("caption")).alias("family"), F.regexp_extract(T.caption_number(F.col("caption")), r"(\d+)$", 1).try_cast("int").alias("number"))
@@ -161,6 +175,7 @@ def pair_tables(old: DataFrame, new: DataFrame, old_rows: DataFrame, new_rows: D
     shifts = offset_support(told, [*doc, "family"], "o", "n")
     renumbered = told.withColumn("offset", F.col("n") - F.col("o")).join(shifts.select(*doc, "family", "offset"), [*doc, "family", "offset"], "left_semi")
     done = stored(done.unionByName(renumbered.select(*doc, "old_table", "new_table", F.lit(1.0).alias("score"), F.lit("descriptive_renumbering").alias("basis"))), "renumbered")
+    done = later_captions(old, new, old_rows, new_rows, a, b, done, doc)
     left_a, left_b = a.join(done, [*doc, "old_table"], "left_anti"), b.join(done, [*doc, "new_table"], "left_anti")
     keys = lambda rows, name: rows.select(*doc, F.col("table_id").alias(name), "display", "identity")
     ra, rb = keys(old_rows, "old_table").join(left_a.select(*doc, "old_table"), [*doc, "old_table"], "left_semi"), keys(new_rows, "new_table").join(left_b.select(*doc, "new_table"), [*doc, "new_table"], "left_semi")
@@ -176,6 +191,31 @@ def pair_tables(old: DataFrame, new: DataFrame, old_rows: DataFrame, new_rows: D
     return done.unionByName(only_a).unionByName(only_b)
 
 
+def later_captions(old: DataFrame, new: DataFrame, old_rows: DataFrame, new_rows: DataFrame, a: DataFrame, b: DataFrame, done: DataFrame, doc: list[str]) -> DataFrame:
+    """done with tables of repeated captions and of families that moved; a, b: what ``pair_tables`` knows of captions."""
+    if "ord" not in old.columns or "ord" not in new.columns:
+        return done
+
+    def left(rows: DataFrame, known: DataFrame, name: str, held: DataFrame) -> DataFrame:
+        return known.join(rows.select(*doc, F.col("table_id").alias(name), "ord"), [*doc, name]).join(held, [*doc, name], "left_anti")
+
+    if "row_no" in old_rows.columns and "row_no" in new_rows.columns:
+
+        def content(rows: DataFrame, known: DataFrame, all_rows: DataFrame, name: str) -> DataFrame:
+            whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "display"))), lambda x: x["display"]), "\n"), 256)
+            keys = all_rows.groupBy(*doc, F.col("table_id").alias(name)).agg(whole.alias("content"))
+            return left(rows, known, name, done).filter("caption <> ''").join(keys, [*doc, name]).select(*doc, "caption", "ord", F.col(name).alias("table_id"), "content")
+
+        runs = captions.aligned_runs(content(old, a, old_rows, "old_table"), content(new, b, new_rows, "new_table"), doc)
+        done = stored(done.unionByName(runs.select(*doc, "old_table", "new_table", F.lit(1.0).alias("score"), F.lit("repeated_caption").alias("basis"))), "repeated")
+    left_a, left_b = left(old, a, "old_table", done).filter("family <> ''"), left(new, b, "new_table", done).filter("family <> ''")
+    families = captions.family_map(left_a, left_b, doc)
+    named = unique_only(left_a.filter("descriptor <> ''"), [*doc, "descriptor"]).select(*doc, "descriptor", "old_table", F.col("family").alias("old_family"))
+    met = named.join(unique_only(left_b, [*doc, "descriptor"]).select(*doc, "descriptor", "new_table", F.col("family").alias("new_family")), [*doc, "descriptor"])
+    moved = met.join(families.select(*doc, "old_family", "new_family"), [*doc, "old_family", "new_family"], "left_semi")
+    return stored(done.unionByName(moved.select(*doc, "old_table", "new_table", F.lit(1.0).alias("score"), F.lit("cross_clause").alias("basis"))), "families")
+
+
 def row_kind(old_display: Column, new_display: Column, old_values: Column, new_values: Column) -> Column:
     """The first that fits: unchanged, review (cosmetic only), row_deleted, row_added, symbol_changed, value_changed, replaced.
 

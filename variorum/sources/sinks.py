@@ -66,6 +66,64 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> Non
         files.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
 
 
+def write_appendix(sections: DataFrame, tables: DataFrame, path: str, **kw) -> None:
+    """Pairs that scored full marks on everything, with the columns of the main tables, beside them."""
+    write_section_changes(sections, f"{path}/sections", **kw)
+    write_csv(tables, f"{path}/tables", **kw)
+
+
+def html_report(changes: DataFrame, *, limit: int = 200, title: str = "Changes") -> str:
+    """The first changes in reading order, both sides beside each other; deleted and inserted parts are marked. Texts are escaped.
+    The limit is the report's, the tables hold all."""
+    from html import escape
+
+    from variorum.operators.delta import inline_marks, ordered_changes
+
+    def marked(text: str, spans: list[dict], tag: str) -> str:
+        out, at = [], 0
+        for s in spans:
+            out += [escape(text[at : s["start"]]), f"<{tag}>", escape(text[s["start"] : s["end"]]), f"</{tag}>"]
+            at = s["end"]
+        return "".join([*out, escape(text[at:])])
+
+    cards = []
+    for r in ordered_changes(changes.filter("change_type <> 'unchanged'")).limit(limit).collect():
+        old, new = r["old_body"] or "", r["new_body"] or ""
+        both = inline_marks(old, new) if r["old_body"] is not None and r["new_body"] is not None else []
+        sides = [marked(text, [m for m in both if m["side"] == side], tag) for text, side, tag in ((old, "old", "del"), (new, "new", "ins"))]
+        cards.append(f"<section class={escape(r['change_type'])!r}><h2>{escape(r['new_heading'] or r['old_heading'] or '')}</h2><table><tr><td><pre>{sides[0]}</pre></td><td><pre>{sides[1]}</pre></td></tr></table></section>")
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{''.join(cards)}</body></html>"
+
+
+#: Formats that ``write_reports`` knows, and what each writes below the folder.
+FORMATS = ("csv", "json", "markdown", "html")
+
+
+def write_reports(bundle: dict[str, DataFrame], path: str, formats: tuple[str, ...] = FORMATS, *, limit: int = 200) -> list[str]:
+    """Write the tables of a comparison (``changes`` and others) in the formats asked for, all or none, and return what is there.
+
+    csv and json hold every row; markdown and html are one small file each with the first ``limit`` changes. An unknown format, or
+    a folder that exists, is an error before anything is written.
+    """
+    if unknown := set(formats) - set(FORMATS):
+        raise ValueError(f"no such format: {', '.join(sorted(unknown))}")
+    spark = bundle["changes"].sparkSession
+
+    def write(folder: str) -> None:
+        for f in formats:
+            if f == "csv":
+                for name, rows in bundle.items():
+                    (write_section_changes if name == "changes" else write_csv)(rows, f"{folder}/csv/{name}")
+            elif f == "json":
+                write_json(bundle, f"{folder}/json")
+            else:
+                text = (markdown_report if f == "markdown" else html_report)(bundle["changes"], limit=limit)
+                spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{folder}/{f}")
+
+    publish(spark, path, write)
+    return [f"{path}/{f}" for f in formats]
+
+
 def markdown_report(changes: DataFrame, *, limit: int = 200) -> str:
     """The first changes in reading order as text; the limit is the report's, the tables hold all."""
     from variorum.operators.delta import ordered_changes
