@@ -28,3 +28,8 @@ def test_sharing_by_hand():
 
 def test_only_best_leaves_ties_out():
     assert paired.only_best([(0, 0, 0.9), (0, 1, 0.8), (1, 1, 0.8), (2, 2, 0.5), (2, 3, 0.5)]) == [(0, 0, 0.9)]
+
+
+def test_evidence_moves_ids_only(spark):
+    # beside the two exchanges of the texts, those of the counted ids
+    assert moved(plan(entry.queries()["evidence_conservation"](spark, SF))) <= 4
