@@ -94,3 +94,13 @@ def test_ratio_and_bounds(spark):
     rows = spark.createDataFrame(pairs, "a string, b string")
     for row in rows.select("a", "b", S.length_bound(F.col("a"), F.col("b")).alias("l"), S.character_bound(F.col("a"), F.col("b")).alias("c"), S.exact_ratio_udf("a", "b").alias("r")).collect():
         assert row.r <= row.c + 1e-12 <= row.l + 2e-12
+
+
+def test_blocks_are_those_of_difflib():
+    dice = random.Random(3)
+    for k in range(600):
+        letters = ("ab", "abc ", "abcdefgh ")[k % 3]
+        a = "".join(dice.choice(letters) for _ in range(dice.randint(0, 50)))
+        b = "".join(c for c in a if dice.random() > 0.1) + dice.choice(["", "ab"]) if k % 2 else "".join(dice.choice(letters) for _ in range(dice.randint(0, 50)))
+        assert S.exact_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert 2 * S.matched(a, b) <= 2 * S.lcs_length(a, b) <= 2 * S.shared_characters(a, b)
