@@ -104,3 +104,19 @@ def test_blocks_are_those_of_difflib():
         b = "".join(c for c in a if dice.random() > 0.1) + dice.choice(["", "ab"]) if k % 2 else "".join(dice.choice(letters) for _ in range(dice.randint(0, 50)))
         assert S.exact_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
         assert 2 * S.matched(a, b) <= 2 * S.lcs_length(a, b) <= 2 * S.shared_characters(a, b)
+
+
+def test_places_count_the_tokens_before_them(monkeypatch):
+    value = "A_b 1,234.5e6 iPhone7 -> x<=y 3 ′ v1.2.3 C:/d/e 0012 μ² a-b/c " * 4
+    place = T._Places(value)
+    assert [place(k) for k in range(len(value))] == [len(T._TOKEN.findall(value[:k])) for k in range(len(value))]
+    read = []
+
+    class Counted:
+        finditer = staticmethod(lambda x, f=T._TOKEN.finditer: read.append(len(x)) or f(x))
+        findall = staticmethod(lambda x, f=T._TOKEN.findall: read.append(len(x)) or f(x))
+
+    monkeypatch.setattr(T, "_TOKEN", Counted)
+    T.unit_key.__wrapped__(value)
+    # before: the text was read again up to each mark
+    assert sum(read) < 4 * len(value)

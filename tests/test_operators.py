@@ -198,3 +198,28 @@ def test_compare(spark):
     assert rows(result.identical, "doc_id") == [(2,)]
     assert Counter(r.change_type for r in result.changes.collect()) == Counter(unchanged=1, modified=1, deleted=1, added=1)
     assert Counter(r.kind for r in result.events.collect())["replaced"] == 3
+
+
+def test_similar_units_are_the_greedy_choice_of_all_scores(monkeypatch):
+    import random
+
+    from variorum.functions import similarity as S
+    from variorum.operators.assignment import greedy_pairs
+
+    dice, ratio, asked = random.Random(11), S.exact_ratio, []
+    monkeypatch.setattr(S, "exact_ratio", lambda a, b: asked.append(a) or ratio(a, b))
+    bank = "the limit of clock rate is five units per lane and resets on power loss under load".split()
+    compared = 0
+    for k in range(60):
+        old = [" ".join(dice.choice(bank) for _ in range(dice.randint(0, 9))) for _ in range(dice.randint(0, 12 if k % 10 else 50))]
+        new = [x if dice.random() < 0.4 else x.replace("the", "a") for x in old if dice.random() < 0.8] + [" ".join(dice.choice(bank) for _ in range(dice.randint(0, 5))) for _ in range(3)]
+        words = [[set(x.lower().split()) for x in side] for side in (old, new)]
+        scores = []
+        for i, j in match.unit_candidates(*words):
+            smaller = min(len(words[0][i]), len(words[1][j]))
+            factor = 0.75 + 0.25 * (len(words[0][i] & words[1][j]) / smaller if smaller else 0)
+            scores.append((factor * (ratio(old[i], new[j]) if ratio(old[i], new[j]) >= 0.45 / factor else 0.0), i, j))
+        compared += len(scores)
+        assert match.similar_units([(x, x) for x in old], [(x, x) for x in new], 0.45) == greedy_pairs(len(old), len(new), scores)
+    # before: each candidate that bounds allowed was compared
+    assert len(asked) < compared / 3
