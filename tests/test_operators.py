@@ -223,3 +223,13 @@ def test_similar_units_are_the_greedy_choice_of_all_scores(monkeypatch):
         assert match.similar_units([(x, x) for x in old], [(x, x) for x in new], 0.45) == greedy_pairs(len(old), len(new), scores)
     # before: each candidate that bounds allowed was compared
     assert len(asked) < compared / 3
+
+
+def test_sections_read_their_pages_once(spark):
+    from variorum.plans.compare import sections_of
+
+    pages = spark.createDataFrame([(1, 1, "1 Scope\nText here."), (1, 2, "2 Terms\nMore text.")], "doc_id int, page_no int, text string")
+    found = sections_of(pages, ["doc_id"], Options())
+    # before: each use of the lines made them of the pages again
+    assert "LocalTableScan" not in (told := found._jdf.queryExecution().executedPlan().toString()) and "ExistingRDD" not in told and "text-lines" in told
+    assert sorted((r.number, r.body) for r in found.collect()) == [("1", "Text here."), ("2", "More text.")]
