@@ -1,8 +1,12 @@
+import random
+
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
 from variorum.operators import evidence, paired
+from variorum.operators.identity import words
 
 
 def moved(plan: str) -> int:
@@ -50,3 +54,29 @@ def test_conservation_of_null_documents_and_repeated_ids(spark):
     old = units([(None, 0, "a", "x", "body", []), (1, 0, "b", "x", "body", []), (1, 1, "b", "y", "body", [])])
     new = units([(None, 0, "c", "x", "body", []), (1, 0, "d", "x", "body", [])])
     assert sorted(map(tuple, evidence.conservation(old, new, ["doc"]).collect()), key=str) == [(1, 1, 1, False), (None, 1, 1, True)]
+
+
+def sides_by_chance(rnd: random.Random, most: int) -> tuple[list[str], list[str]]:
+    drawn = lambda: " ".join(rnd.choice(["red", "fox", "the", "blue", "cat7", "zeta-9", "12"]) for _ in range(rnd.randint(1, 5))) + "x" * rnd.randint(0, 3)
+    return [drawn() for _ in range(rnd.randint(1, most))], [drawn() for _ in range(rnd.randint(1, most))]
+
+
+def test_best_lengths_whatever_the_number_of_lines_with_a_word():
+    # 40 lines share a word; beyond 32 none of its pairs were looked at
+    old, new = ["common " + "a" * (5 * k + 1) for k in range(40)], ["common " + "b" * (5 * k + 2) for k in range(40)]
+    assert sorted((i, j) for i, j, _ in paired.best_length_pairs()(range(40), old, range(40), new)) == [(k, k) for k in range(40)]
+    rnd = random.Random(5)
+    for _ in range(60):
+        x, y = sides_by_chance(rnd, 45)
+        want = paired.only_best((i, j, paired.length_score(len(s), len(t))) for i, s in enumerate(x) for j, t in enumerate(y) if words(s) & words(t))
+        assert sorted(paired.best_length_pairs()(range(len(x)), x, range(len(y)), y)) == sorted(want)
+
+
+def test_mutual_best_length_of_a_long_document_as_its_sql(spark, tmp_path):
+    text = "\n".join("common " + "word " * (k % 7) + "y" * k for k in range(60))
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql("SELECT doc_id, old_ord, new_ord, round(score, 6) FROM (" + entry.oracle_sql()["mutual_best_length"] + ")").fetchall()
+    got = entry.queries()["mutual_best_length"](spark, str(tmp_path)).collect()
+    assert want and sorted((r.doc_id, r.old_ord, r.new_ord, round(r.score, 6)) for r in got) == sorted(want)
