@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
+from variorum.functions.similarity import bounded_ratio
 from variorum.operators import evidence, paired
 from variorum.operators.identity import words
 
@@ -80,3 +81,17 @@ def test_mutual_best_length_of_a_long_document_as_its_sql(spark, tmp_path):
     want = con.sql("SELECT doc_id, old_ord, new_ord, round(score, 6) FROM (" + entry.oracle_sql()["mutual_best_length"] + ")").fetchall()
     got = entry.queries()["mutual_best_length"](spark, str(tmp_path)).collect()
     assert want and sorted((r.doc_id, r.old_ord, r.new_ord, round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_ratios_of_all_pairs_whose_lengths_allow_them(monkeypatch):
+    # no word in common, and a word that 40 lines have: neither was compared
+    found = {(i, j): r for i, j, r in paired.ratio_pairs(0.72)(range(41), ["1234567890"] + ["common " + "ab" * k for k in range(40)], range(41), ["1234567891"] + ["common " + "ab" * k for k in range(40)])}
+    assert found[0, 0] == 0.9 and all(found[k, k] == 1 for k in range(1, 41))
+    rnd = random.Random(6)
+    for pack in (1, 60, paired.PACK):
+        monkeypatch.setattr(paired, "PACK", pack)
+        for _ in range(30):
+            x, y = sides_by_chance(rnd, 12)
+            x[0], y[0] = "", "ß\U0001f98a𝔘 " + y[0]
+            want = [(i, j, bounded_ratio(s, t, 0.72)) for i, s in enumerate(x) for j, t in enumerate(y) if paired.length_score(len(s), len(t)) >= 0.72]
+            assert sorted(paired.ratio_pairs(0.72)(range(len(x)), x, range(len(y)), y)) == want
