@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from variorum.functions import similarity as S
 from variorum.operators import delta, geometry, match, segment, tables
 
 WORDS = "d int, page_no int, text string, x0 double, top double, x1 double, bottom double, size double, angle double, page_width double, page_height double"
@@ -157,3 +158,36 @@ def test_reader_view_and_windows(spark):
     snippets = spark.createDataFrame([(1, 1, "== 7"), (1, 2, "words here")], "d int, snippet_id int, text string")
     pages = spark.createDataFrame([(1, 4, "a == 7 b"), (1, 5, "some words here")], "d int, page_no int, text string")
     assert {r.snippet_id: r.page_no for r in delta.locate_snippets(snippets, pages, ["d"]).collect()} == {1: 4, 2: 5}
+
+
+def test_sections_are_compared_whole(spark):
+    """Bodies that differ only where 1,200 sampled characters are taken: the first, middle and last ones."""
+    r = random.Random(8)
+    text = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    common = [text(2200, "abcdefgh ") for _ in range(2)]
+    old = sections(spark, [(0, "1", "Limits", text(490, "klmn") + common[0] + text(380, "klmn") + common[1] + text(380, "klmn"))])
+    new = sections(spark, [(3, "7", "Limits", text(490, "wxyz") + common[0] + text(380, "wxyz") + common[1] + text(380, "wxyz"))])
+    got = [(x.old_ord, x.new_ord, x.basis) for x in match.match_sections(old, new, ["d"]).collect()]
+    assert got == [(0, 3, "similarity_fallback")]
+
+
+def test_similar_sections_are_those_of_all_pairs():
+    r = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "Omega", "12"]
+
+    def side() -> list[match.Told]:
+        texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 9))) for _ in range(12)]
+        return [match.Told(k, str(k), None, r.choice(words), r.choice(words), x, x, len(x), []) for k, x in enumerate(texts)]
+
+    for least in (0.3, 0.72, 0.9):
+        for _ in range(20):
+            old, new = side(), side()
+            want = {}
+            for a in old:
+                for b in new:
+                    title, place, body = S.exact_ratio(a.title, b.title), S.exact_ratio(a.location, b.location), S.exact_ratio(a.body.lower(), b.body.lower())
+                    score = max(0.85 * title + 0.15 * body, 0.4 * place + 0.6 * body)
+                    if body >= least and score >= least:
+                        want[a.ord, b.ord] = score
+            assert {(a.ord, b.ord): score for a, b, score, _ in match.similarity_candidates(old, new, least)} == want
+            assert {(a.ord, b.ord) for a, b, _, _ in match.similarity_candidates(old, new, least, set(list(want)[1:]))} == set(list(want)[:1])
