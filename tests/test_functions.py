@@ -120,3 +120,33 @@ def test_places_count_the_tokens_before_them(monkeypatch):
     T.unit_key.__wrapped__(value)
     # before: the text was read again up to each mark
     assert sum(read) < 4 * len(value)
+
+
+def test_blocks_are_found_in_few_looks():
+    """A text of two changed places is not asked about every character."""
+
+    class Counted(str):
+        looks = 0
+
+        def __getitem__(self, at):
+            Counted.looks += 1
+            return str.__getitem__(self, at)
+
+    r = random.Random(12)
+    text = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    for other in (text[:700] + "XX" + text[760:2000] + text[2100:], text[1500:] + text[:1500]):
+        Counted.looks = 0
+        assert S.exact_ratio(Counted(text), other) == SequenceMatcher(None, text, other, autojunk=False).ratio()
+        assert Counted.looks < 1500
+
+
+def test_a_subsequence_is_given_up_when_it_can_not_be_long_enough():
+    r = random.Random(13)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randint(0, 900))) for _ in "ab")
+        length = S.lcs_length(a, b)
+        assert length == S.lcs_length(b, a) == S.lcs_length(a, b, length)
+        assert length <= S.lcs_length(a, b, length + 40) < length + 40
+        least = r.choice([0.5, 0.72, 0.9])
+        ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert S.bounded_ratio(a, b, least) == (ratio if ratio >= least else 0.0)

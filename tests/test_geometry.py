@@ -191,3 +191,9 @@ def test_similar_sections_are_those_of_all_pairs():
                         want[a.ord, b.ord] = score
             assert {(a.ord, b.ord): score for a, b, score, _ in match.similarity_candidates(old, new, least)} == want
             assert {(a.ord, b.ord) for a, b, _, _ in match.similarity_candidates(old, new, least, set(list(want)[1:]))} == set(list(want)[:1])
+
+
+def test_sections_are_dealt_once(spark):
+    rows = sections(spark, [(0, "1", "a", "x"), (1, "2", "b", "y")])
+    plan = match.solved_sections(rows, rows, ["d"], match.SECTION)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
